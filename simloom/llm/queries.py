@@ -4,16 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from simloom.llm import media_ogg
+from simloom.llm import media_ogg, topk_search
 from simloom.llm.shared import documents
 
 
+def op1_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk_search.quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return topk_search.exact_top_k(vectors, vectors.where("id % 50 = 0"), k=5)
+
+
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_ogg.media_digest(documents(spark, sf_dir))
 
 
 QUERIES = {
+    "op1_exact_topk_search": op1_exact_topk_search,
     "op3_ogg_media": op3_ogg_media,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_exact_topk_search": OP1_SQL,
+}
