@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from simloom.llm import media_ogg, topk_search
+from simloom.llm import media_ogg, source_mixing, topk_search
 from simloom.llm.shared import documents
 
 
@@ -29,15 +29,21 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mixed(documents(spark, sf_dir))
+
+
 def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_ogg.media_digest(documents(spark, sf_dir))
 
 
 QUERIES = {
     "op1_exact_topk_search": op1_exact_topk_search,
+    "op2_source_mixing": op2_source_mixing,
     "op3_ogg_media": op3_ogg_media,
 }
 
 ORACLES: dict[str, str] = {
     "op1_exact_topk_search": OP1_SQL,
+    "op2_source_mixing": source_mixing.ORACLE,
 }
