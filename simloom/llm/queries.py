@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from simloom.llm import media_ogg, source_mixing, topk_search
+from simloom.llm import media_ogg, simhash_dedup, source_mixing, topk_search
 from simloom.llm.shared import documents
 
 
@@ -37,10 +37,15 @@ def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_ogg.media_digest(documents(spark, sf_dir))
 
 
+def op9_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.report(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_exact_topk_search": op1_exact_topk_search,
     "op2_source_mixing": op2_source_mixing,
     "op3_ogg_media": op3_ogg_media,
+    "op9_simhash_neardup": op9_simhash_neardup,
 }
 
 ORACLES: dict[str, str] = {
