@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from simloom.llm import media_ogg, simhash_dedup, source_mixing, topk_search
+from simloom.llm import media_ogg, simhash_dedup, source_mixing, topk_search, toxicity
 from simloom.llm.shared import documents
 
 
@@ -37,6 +37,10 @@ def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_ogg.media_digest(documents(spark, sf_dir))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.report(documents(spark, sf_dir))
 
@@ -45,6 +49,7 @@ QUERIES = {
     "op1_exact_topk_search": op1_exact_topk_search,
     "op2_source_mixing": op2_source_mixing,
     "op3_ogg_media": op3_ogg_media,
+    "op8_toxicity": op8_toxicity,
     "op9_simhash_neardup": op9_simhash_neardup,
 }
 
