@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from simloom.llm import media_ogg, simhash_dedup, source_mixing, topk_search, toxicity
+from simloom.llm import media_ogg, simhash_dedup, source_mixing, token_counts, topk_search, toxicity
 from simloom.llm.shared import documents
 
 
@@ -45,12 +46,17 @@ def op9_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.report(documents(spark, sf_dir))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.report(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_exact_topk_search": op1_exact_topk_search,
     "op2_source_mixing": op2_source_mixing,
     "op3_ogg_media": op3_ogg_media,
     "op8_toxicity": op8_toxicity,
     "op9_simhash_neardup": op9_simhash_neardup,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {
