@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from simloom.llm import media_ogg, secret_scan, simhash_dedup, source_mixing, token_counts, topk_search, toxicity
+from simloom.llm import html_wrappers, media_ogg, secret_scan, simhash_dedup, source_mixing, token_counts, topk_search, toxicity
 from simloom.llm.shared import documents
 
 
@@ -42,6 +42,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(documents(spark, sf_dir))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op2_source_mixing": op2_source_mixing,
     "op3_ogg_media": op3_ogg_media,
     "op6_secret_scan": op6_secret_scan,
+    "op7_html_extraction": op7_html_extraction,
     "op8_toxicity": op8_toxicity,
     "op9_simhash_neardup": op9_simhash_neardup,
     "op10_token_counts": op10_token_counts,
