@@ -235,9 +235,9 @@ def links(nodes: DataFrame, threshold: int = 2) -> DataFrame:
     chosen = plan(n, both, threshold)
     probes = None
     for i, (bits, t) in enumerate(chosen):
-        mask = signed(sum(1 << b for b in bits))
+        own = F.col("fp").bitwiseAND(F.lit(signed(sum(1 << b for b in bits))))
         flips = F.array(*[F.lit(f).cast("long") for f in _flips(bits, t)])
-        one = nodes.select(F.lit(i).alias("part"), "fp", F.explode(F.transform(flips, lambda f, mask=mask: F.col("fp").bitwiseAND(F.lit(mask)).bitwiseXOR(f))).alias("sig"))
+        one = nodes.select(F.lit(i).alias("part"), "fp", F.explode(flips).alias("flip")).select("part", "fp", own.bitwiseXOR(F.col("flip")).alias("sig"))
         probes = one if probes is None else probes.unionAll(one)
     sizes = probes.groupBy("part", "sig").agg(F.count("*").alias("c")).where("c > 1")
     met = written(probes.join(sizes, ["part", "sig"]), "buckets")
@@ -246,8 +246,7 @@ def links(nodes: DataFrame, threshold: int = 2) -> DataFrame:
     for i, (bits, t) in enumerate(chosen):
         other = [b for b in range(BITS) if t or b not in bits]
         flips = F.array(*[F.lit(f).cast("long") for f in _flips(other, threshold // 2)])
-        keys = met.where((F.col("c") > HOT) & (F.col("part") == i)).select("sig", "fp", F.explode(F.transform(flips, lambda f: F.col("fp").bitwiseXOR(f))).alias("near"))
-        keys = keys.select("fp", "near").distinct()
+        keys = met.where((F.col("c") > HOT) & (F.col("part") == i)).select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("near")).distinct()
         least = keys.groupBy("near").agg(F.min("fp").alias("m"), F.count("*").alias("c")).where("c > 1").select("near", "m")
         found = found.unionAll(keys.join(least, "near").where("fp <> m").select(F.col("fp").alias("u"), F.col("m").alias("v")).distinct())
     return found
