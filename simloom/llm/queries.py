@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from simloom.llm import html_wrappers, media_ogg, secret_scan, simhash_dedup, source_mixing, token_counts, topk_search, toxicity
+from simloom.llm import html_wrappers, media_ogg, pii_pseudonyms, secret_scan, simhash_dedup, source_mixing, token_counts, topk_search, toxicity
 from simloom.llm.shared import documents
 
 
@@ -38,6 +38,10 @@ def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_ogg.media_digest(documents(spark, sf_dir))
 
 
+def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_pseudonyms.report(documents(spark, sf_dir))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(documents(spark, sf_dir))
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op1_exact_topk_search": op1_exact_topk_search,
     "op2_source_mixing": op2_source_mixing,
     "op3_ogg_media": op3_ogg_media,
+    "op5_pii_pseudonyms": op5_pii_pseudonyms,
     "op6_secret_scan": op6_secret_scan,
     "op7_html_extraction": op7_html_extraction,
     "op8_toxicity": op8_toxicity,
