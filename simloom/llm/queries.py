@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from simloom.llm import html_wrappers, media_ogg, pii_pseudonyms, secret_scan, simhash_dedup, source_mixing, token_counts, topk_search, toxicity
+from simloom.llm import html_wrappers, media_ogg, pii_pseudonyms, secret_scan, sentencepiece_lattice, simhash_dedup, source_mixing, token_counts, topk_search, toxicity
 from simloom.llm.shared import documents
 
 
@@ -38,6 +38,10 @@ def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_ogg.media_digest(documents(spark, sf_dir))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_lattice.report(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_pseudonyms.report(documents(spark, sf_dir))
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op1_exact_topk_search": op1_exact_topk_search,
     "op2_source_mixing": op2_source_mixing,
     "op3_ogg_media": op3_ogg_media,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_pii_pseudonyms": op5_pii_pseudonyms,
     "op6_secret_scan": op6_secret_scan,
     "op7_html_extraction": op7_html_extraction,
