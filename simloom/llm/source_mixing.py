@@ -111,6 +111,19 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     return queued.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
+def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, with its columns.
+
+    Rows of equal key, source and size are alike to the mix; the copies taken
+    of them are shared out evenly, the rest to any of them.
+    """
+    share = mixed(docs, key, text, source).where("size > 0").select(F.col("doc_id").alias("__key"), F.col("size").alias("__size"), (F.col("taken") / F.col("size")).cast("long").alias("__copies"))
+    copies = share.groupBy("__key", "__size").agg(F.ceil(F.avg("__copies")).cast("int").alias("__copies")).where("__copies > 0")
+    sized = docs.withColumn("__size", word_count(F.col(text)))
+    met = sized.join(copies, sized[key].eqNullSafe(copies["__key"]) & (sized["__size"] == copies["__size"]))
+    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[sized[c] for c in docs.columns])
+
+
 ORACLE = """
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
