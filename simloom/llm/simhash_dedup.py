@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from simloom.llm.components import roots
 from simloom.llm.shared import written
+from simloom.llm.simhash_wide import wide_fingerprints, wide_links
 
 BITS = 64
 HOT = 64
@@ -252,29 +253,43 @@ def links(nodes: DataFrame, threshold: int = 2) -> DataFrame:
     return found
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = 2, words: int = 3) -> DataFrame:
-    """``key``, ``fp`` and ``component_id``, the least key reachable over links."""
-    marked = written(fingerprints(df, key, text, words), "fingerprints")
-    nodes = written(marked.groupBy("fp").agg(F.min(key).alias("first")), "nodes")
-    stars = roots(links(nodes, threshold))
+def _named(marked: DataFrame, nodes: DataFrame, stars: DataFrame, key: str) -> DataFrame:
     member = nodes.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = member.groupBy("root").agg(F.min("first").alias("component_id"))
     of = member.select("fp", "root").join(names, "root").select("fp", "component_id")
     return marked.join(of, "fp").select(key, "fp", "component_id")
 
 
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = 2, words: int = 3) -> DataFrame:
+    """``key``, ``fp`` and ``component_id``, the least key reachable over links."""
+    marked = written(fingerprints(df, key, text, words), "fingerprints")
+    nodes = written(marked.groupBy("fp").agg(F.min(key).alias("first")), "nodes")
+    return _named(marked, nodes, roots(links(nodes, threshold)), key)
+
+
+def similar_texts(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``key``, ``fp`` and ``component_id`` of texts whose shingle sets are about that similar (Jaccard).
+
+    See ``simhash_wide``: so many bits differ then that partitions which
+    surely agree would be too narrow to search.
+    """
+    marked = written(wide_fingerprints(df, key, text, words), "fingerprints")
+    nodes = written(marked.groupBy("fp").agg(F.min(key).alias("first")), "nodes")
+    return _named(marked, nodes, roots(wide_links(nodes, similarity)), key)
+
+
 def report(df: DataFrame) -> DataFrame:
     """doc_id, fingerprint as 16 hex digits, component_id."""
     found = near_duplicates(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+def first_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``df`` that name their component: one document of each group.
 
     Of rows that repeat that key one stays.  All columns are returned.
     """
-    found = near_duplicates(df.select(F.col(key).alias("__key"), F.col(text).alias("__text")), "__key", "__text", **settings)
+    found = similar_texts(df.select(F.col(key).alias("__key"), F.col(text).alias("__text")), "__key", "__text", words, similarity)
     heads = found.where(F.col("__key").eqNullSafe(F.col("component_id"))).groupBy("__key").agg(F.count("*").alias("__n"))
     kept = df.join(heads, df[key].eqNullSafe(heads["__key"]))
     once = kept.where("__n = 1").drop("__key", "__n")

@@ -1,0 +1,218 @@
+"""SimHash of 256 bits for texts that are similar, not nearly equal.
+
+Texts whose shingle sets have a Jaccard similarity of 0.8 differ in about 15 %
+of their fingerprints' bits, 39 of 256.  The pigeonhole principle would need
+partitions of some five bits there, which many pairs share.  So partitions are
+as wide as the number of fingerprints asks for (a bit more than its binary
+logarithm, so that unrelated fingerprints seldom meet), and there are as many,
+over shuffled bits, as meet a pair at the similarity with 90 % chance, more
+similar pairs with more.  What meets is verified on all bits.
+
+Fingerprints of a batch that meet in a partition are linked before anything is
+shuffled, and only the first of each such group goes on, so a group of copies
+of any size arrives as a few rows a batch.  Long buckets link their members to
+leaders, not to each other.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from simloom.llm.shared import written
+
+BITS = 256
+RECALL = 0.9
+SEED = 11
+_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
+
+
+def wide_fingerprint(raw: bytes, words: int = 5) -> bytes:
+    """Bits that are set in over half of the hashes of a text's distinct shingles."""
+    found = raw.lower().split()
+    if not found:
+        return bytes(BITS // 8)
+    grams = zip(*(found[k:] for k in range(words)), strict=False) if len(found) > words else [found]
+    digests = b"".join(map(xxhash.xxh64_digest, map(b" ".join, grams), repeat(42)))
+    h = np.unique(np.frombuffer(digests, np.uint64))
+    votes = []
+    for odd in _ODD:
+        x = (h ^ (h >> np.uint64(31))) * np.uint64(odd)
+        x ^= x >> np.uint64(29)
+        bits = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1)
+        votes.append(bits.sum(axis=0, dtype=np.int64) * 2 > len(h))
+    return np.packbits(np.concatenate(votes)).tobytes()
+
+
+def wide_fingerprints(df: DataFrame, key: str, text: str, words: int = 5) -> DataFrame:
+    """``key`` and ``fp``, 32 bytes."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = b.column(1).cast(pa.binary()).to_pylist()
+            yield pa.record_batch([b.column(0), pa.array([wide_fingerprint(t or b"", words) for t in raw], pa.binary())], names=["k", "fp"])
+
+    return df.select(F.col(key).alias("k"), text).mapInArrow(run, f"k {kind}, fp binary").withColumnRenamed("k", key)
+
+
+def plan(n: int, similarity: float, recall: float = RECALL) -> tuple[int, int, int]:
+    """Bits of a partition, number of partitions, most bits that may differ."""
+    differ = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    width = max(12, math.ceil(math.log2(max(n, 2))) + 1)
+    hit = (1 - differ) ** width
+    parts = math.ceil(math.log(1 - recall) / math.log(1 - hit)) if hit < 1 else 1
+    most = int(BITS * differ + math.sqrt(BITS * differ * (1 - differ)))
+    return width, parts, most
+
+
+def _positions(width: int, parts: int) -> list[np.ndarray]:
+    """Disjoint partitions of one shuffle of the bits after another."""
+    rng, out = np.random.default_rng(SEED), []
+    while len(out) < parts:
+        order = rng.permutation(BITS)
+        out += [np.sort(order[k * width : (k + 1) * width]) for k in range(BITS // width)]
+    return out[:parts]
+
+
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1)
+
+
+class _Forest:
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def root(self, k: int) -> int:
+        while self.parent[k] != k:
+            self.parent[k] = self.parent[self.parent[k]]
+            k = self.parent[k]
+        return k
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        if a == b:
+            return False
+        self.parent[max(a, b)] = min(a, b)
+        return True
+
+
+def _lead(words: np.ndarray, rows: np.ndarray, most: int) -> tuple[list[int], list[tuple[int, int]]]:
+    """Leaders of a bucket, and every member's links to leaders within reach."""
+    leaders, found = [], []
+    free = np.ones(len(rows), bool)
+    while free.any():
+        k = int(free.argmax())
+        near = _distance(words[rows], words[rows[k]]) <= most
+        near[k] = False
+        found += [(int(rows[k]), int(m)) for m in rows[near]]
+        free[k] = False
+        free &= ~near
+        leaders.append(int(rows[k]))
+    return leaders, found
+
+
+def _within_batch(width: int, parts: int, most: int):
+    """Links of a batch (part -1), and what stands for it in each partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        positions = _positions(width, parts)
+        weights = 1 << np.arange(width, dtype=np.int64)
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            raw = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(n, BITS // 8)
+            order = np.lexsort(raw.T[::-1])
+            raw = np.ascontiguousarray(raw[order])
+            words, bits, forest = raw.view(np.uint64), np.unpackbits(raw, axis=1), _Forest(n)
+            part, sig, fp, us, vs = [], [], [], [], []
+            for t, at in enumerate(positions):
+                value = bits[:, at].astype(np.int64) @ weights
+                by = np.argsort(value, kind="stable")
+                starts = np.flatnonzero(np.diff(value[by], prepend=-1))
+                sizes = np.diff(np.append(starts, n))
+                stay = by[starts[sizes == 1]].tolist()
+                for s, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+                    leaders, found = _lead(words, by[s : s + size], most)
+                    stay += leaders
+                    for x, y in found:
+                        if forest.join(x, y):
+                            us.append(x)
+                            vs.append(y)
+                part.append(np.full(len(stay), t, np.int32))
+                sig.append(value[stay])
+                fp.append(np.array(stay))
+            rows = np.concatenate([*fp, np.array(us, np.int64)]).astype(np.int64)
+            cells = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), n, [None, pa.py_buffer(raw.tobytes())])
+            take = lambda k: cells.take(pa.array(k)).cast(pa.binary())
+            other = pa.concat_arrays([pa.nulls(len(rows) - len(vs), pa.binary()), take(np.array(vs, np.int64))])
+            yield pa.record_batch(
+                [pa.array(np.concatenate([*part, np.full(len(us), -1, np.int32)])), pa.array(np.concatenate([*sig, np.zeros(len(us), np.int64)])), take(rows), other], names=["part", "sig", "fp", "other"]
+            )
+
+    return run
+
+
+def _between_batches(most: int):
+    """Links of rows that are sorted by partition and value."""
+
+    def links_of(part: np.ndarray, sig: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        words = raw.view(np.uint64)
+        new = np.flatnonzero((np.diff(part, prepend=-9) != 0) | (np.diff(sig, prepend=-9) != 0))
+        sizes = np.diff(np.append(new, len(part)))
+        us, vs = [], []
+        pairs = new[sizes == 2]
+        near = pairs[_distance(words[pairs], words[pairs + 1]) <= most]
+        us.append(near)
+        vs.append(near + 1)
+        for s, size in zip(new[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            found = _lead(words, np.arange(s, s + size), most)[1]
+            us.append(np.array([x for x, _ in found], np.int64))
+            vs.append(np.array([y for _, y in found], np.int64))
+        return np.concatenate(us), np.concatenate(vs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last bucket may go on in the next batch
+        for b in _and_end(batches):
+            if b is not None and not b.num_rows:
+                continue
+            if b is not None:
+                part, sig = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+                raw = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, BITS // 8)
+                if held is not None:
+                    part, sig, raw = (np.concatenate([x, y]) for x, y in zip(held, (part, sig, raw), strict=True))
+                same = (part == part[-1]) & (sig == sig[-1])
+                cut = int(same.argmax())
+                held = part[cut:], sig[cut:], raw[cut:]
+                part, sig, raw = part[:cut], sig[:cut], np.ascontiguousarray(raw[:cut])
+            elif held is not None:
+                part, sig, raw = held[0], held[1], np.ascontiguousarray(held[2])
+            else:
+                break
+            if len(part):
+                u, v = links_of(part, sig, raw)
+                yield pa.record_batch([pa.array([raw[k].tobytes() for k in x], pa.binary()) for x in (u, v)], names=["u", "v"])
+
+    return run
+
+
+def _and_end(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
+
+
+def wide_links(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """``u``, ``v``: links of distinct fingerprints ``fp``."""
+    width, parts, most = plan(nodes.count(), similarity)
+    rows = written(nodes.select("fp").mapInArrow(_within_batch(width, parts, most), "part int, sig long, fp binary, other binary"), "partitions")
+    inside = rows.where("part < 0").select(F.col("fp").alias("u"), F.col("other").alias("v"))
+    met = rows.where("part >= 0").select("part", "sig", "fp").repartition("part", "sig").sortWithinPartitions("part", "sig", "fp")
+    return inside.unionAll(met.mapInArrow(_between_batches(most), "u binary, v binary").distinct())
