@@ -74,6 +74,8 @@ def osa_distances(a: Sequence[str | None], b: Sequence[str | None]) -> np.ndarra
 
 def _jaro(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
     rows = len(a)
+    if not a.shape[1] or not b.shape[1]:
+        return np.where((la == 0) & (lb == 0), 1.0, 0.0)
     reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
     used_a, used_b = np.zeros(a.shape, bool), np.zeros(b.shape, bool)
     columns = np.arange(b.shape[1])
