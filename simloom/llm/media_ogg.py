@@ -29,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from simloom.llm.shared import slices
+
 FRAME = 576
 RATE = 8000
 INDEX_SERIAL, SAMPLE_SERIAL = 1, 2
 CONTINUED, FIRST, LAST = 1, 2, 4
-_HEAD = struct.Struct("<4sBBqIIIB")
-_INDEX = struct.Struct("<8sIIQ")
+_HEAD, _INDEX = "<4sBBqIIIB", "<8sIIQ"
 _MARK = b"pcm-u8\x00\x01"
 _FLIP = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
 
@@ -76,7 +77,7 @@ class Stream:
 
 
 def _page(serial: int, sequence: int, flags: int, granule: int, lacing: bytes, body: bytes) -> bytes:
-    blank = _HEAD.pack(b"OggS", 0, flags, granule, serial, sequence, 0, len(lacing)) + lacing + body
+    blank = struct.pack(_HEAD, b"OggS", 0, flags, granule, serial, sequence, 0, len(lacing)) + lacing + body
     return blank[:22] + struct.pack("<I", page_checksum(blank)) + blank[26:]
 
 
@@ -145,7 +146,7 @@ def read_pages(data: bytes) -> Iterator[Page | None]:
             return
         page = None
         if start + 27 <= len(data):
-            _, version, flags, granule, serial, sequence, crc, n = _HEAD.unpack_from(data, start)
+            _, version, flags, granule, serial, sequence, crc, n = struct.unpack_from(_HEAD, data, start)
             lacing = data[start + 27 : start + 27 + n]
             end = start + 27 + n + sum(lacing)
             if version == 0 and len(lacing) == n and end <= len(data):
@@ -211,7 +212,7 @@ def store(raw: bytes, frame: int = FRAME, rate: int = RATE) -> bytes:
     """The text's bytes, padded, as an Ogg file."""
     payload = pad(raw, frame)
     frames = [Packet(payload[i : i + frame], i + frame) for i in range(0, len(payload), frame)]
-    index = [Packet(_INDEX.pack(_MARK, rate, frame, len(raw)), 0)]
+    index = [Packet(struct.pack(_INDEX, _MARK, rate, frame, len(raw)), 0)]
     head = [Packet(_MARK + struct.pack("<II", rate, frame), 0)]
     return multiplex([write_stream(INDEX_SERIAL, index), write_stream(SAMPLE_SERIAL, head + frames, own_first=True)])
 
@@ -237,7 +238,7 @@ def load(media: bytes) -> Media:
     index, samples = streams[INDEX_SERIAL], streams[SAMPLE_SERIAL]
     if not index.packets or not index.packets[0].data.startswith(_MARK):
         raise ValueError("the index packet is missing")
-    _, rate, frame, n_bytes = _INDEX.unpack(index.packets[0].data)
+    _, rate, frame, n_bytes = struct.unpack(_INDEX, index.packets[0].data)
     frames = sorted(samples.packets[1:], key=lambda p: p.granule)
     payload = b"".join(p.data for p in frames)
     whole = samples.ended and not samples.lost and frames and frames[-1].granule == len(payload)
@@ -284,7 +285,7 @@ def media_digest(df: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         names = [c.split()[0] for c in DIGEST.split(", ")]
-        for b in batches:
+        for b in slices(batches):
             rows = [describe(i, t) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             columns = zip(*rows, strict=True) if rows else [[] for _ in names]
             yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -53,6 +55,30 @@ def dropped(*tables: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def slices(batches, rows: int = 1024):
+    """Arrow batches cut to so many rows, so that few texts are Python objects at a time."""
+    for b in batches:
+        for start in range(0, b.num_rows, rows):
+            yield b.slice(start, rows)
+
+
+def lean(run):
+    """A batch function that gives its memory back to the system when its task ends.
+
+    Python workers outlive tasks; what they keep would add up over stages.
+    """
+
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return wrapped
+
+
 def word_count(text):
     """Number of words in a text column; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
