@@ -37,12 +37,41 @@ def features(text: str) -> list[str]:
     return [text[i : i + 3] for i in range(len(text) - 2)] + _WORD.findall(text)
 
 
+def _window_hashes(text: str) -> np.ndarray:
+    """FNV-1a of all windows of three characters at once: their bytes step by step."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = 1 + (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF)
+    h = np.full(len(codes) - 2, FNV_START, np.uint64)
+    prime = np.uint64(FNV_PRIME)
+    for k in range(3):
+        c, n = codes[k : len(codes) - 2 + k], size[k : len(codes) - 2 + k]
+        for byte in range(int(n.max())):
+            lead = byte == 0
+            shift = ((n - 1 - byte) * 6).clip(0).astype(np.uint64)
+            marks = np.array([0, 0, 0xC0, 0xE0, 0xF0], np.uint64)[n] if lead else np.uint64(0x80)
+            value = np.where(n == 1, c, marks | (c >> shift if lead else (c >> shift) & np.uint64(0x3F)))
+            h = np.where(n > byte, (h ^ value) * prime, h)
+    return h
+
+
 def simhash_text(text: str, memo: dict[str, int] | None = None) -> int:
     """The hash as an unsigned integer; 0 of an empty text."""
     if not text:
         return 0
     memo = {} if memo is None else memo
-    counts = Counter(features(_lower(text)))
+    text = _lower(text)
+    if len(text) > 64:
+        counts = Counter(_WORD.findall(text))
+        for f in counts:
+            if f not in memo:
+                memo[f] = fnv1a(f)
+        words = np.array([memo[f] for f in counts], np.uint64)
+        weights = np.fromiter(counts.values(), np.int64, len(counts))
+        bits = lambda h: np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        windows = _window_hashes(text)
+        set_in = bits(windows).sum(axis=0, dtype=np.int64) + weights @ bits(words).astype(np.int64)
+        return int.from_bytes(np.packbits(2 * set_in > len(windows) + weights.sum()).tobytes(), "big")
+    counts = Counter(features(text))
     for f in counts:
         if f not in memo:
             memo[f] = fnv1a(f)

@@ -71,13 +71,42 @@ def _windows(s: Column, most: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(k.alias("part"), s.substr(F.floor(k * F.length(s) / n).cast("int") + 1, (F.floor((k + 1) * F.length(s) / n) - F.floor(k * F.length(s) / n)).cast("int")).alias("value")))
 
 
-def edit_pairs(df: DataFrame, key: str, column: str, most: int = 2) -> DataFrame:
+def _shortened(s: Column) -> Column:
+    """The string without each of its characters in turn."""
+    return F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substr(s, F.lit(1), i - 1), F.substr(s, i + 1)))
+
+
+def _by_deletion(values: DataFrame, most: int) -> DataFrame:
+    """Candidate pairs: strings within ``most`` edits have a string in common that each
+    becomes by at most as many deletions, so no frequent part brings many together."""
+    forms = F.array(F.col("value"))
+    for _ in range(most):
+        longer = F.flatten(F.transform(forms, lambda s: F.when(F.length(s) > 0, _shortened(s)).otherwise(F.array(s))))
+        forms = F.array_distinct(F.concat(forms, longer))
+    cut = values.select("value", F.explode(forms).alias("form"))
+    a, b = (cut.select(F.col("value").alias(f"value_{s}"), "form") for s in "ab")
+    return a.join(b, "form").where((F.col("value_a") < F.col("value_b")) & (F.abs(F.length("value_a") - F.length("value_b")) <= most)).select("value_a", "value_b").distinct()
+
+
+def edit_pairs(df: DataFrame, key: str, column: str, most: int = 2, longest: int = 32) -> DataFrame:
     """value_a, value_b, distance of distinct strings within ``most`` edits, value_a < value_b.
 
-    Strings of each length are cut into parts; strings of near lengths look
-    for the parts at all places they may have moved to.  Exact.
+    Strings of up to ``longest`` characters and within two edits meet by what
+    deletions make of them.  Others are cut into parts; strings of near lengths
+    look for the parts at all places they may have moved to.  Exact.
     """
     values = df.select(F.col(column).alias("value")).where(F.col("value").isNotNull()).distinct()
+    if most <= 2:
+        # a string of any length only pairs with such of nearly the same length
+        short = _by_deletion(values.where(F.length("value") <= longest + most), most)
+        long = _by_parts(values.where(F.length("value") > longest - most), most).where((F.length("value_a") > longest) | (F.length("value_b") > longest))
+        met = short.unionAll(long).distinct()
+    else:
+        met = _by_parts(values, most)
+    return met.withColumn("distance", F.levenshtein("value_a", "value_b", most)).where("distance >= 0")
+
+
+def _by_parts(values: DataFrame, most: int) -> DataFrame:
     cut = values.select(F.col("value").alias("value_a"), F.length("value").alias("size"), F.explode(_windows(F.col("value"), most)).alias("w")).select("value_a", "size", F.col("w.part").alias("part"), F.col("w.value").alias("piece"))
     # every length that a partner may have, and of each of its parts every shift
     n, shifts = most + 1, range(-most, most + 1)
@@ -86,8 +115,7 @@ def edit_pairs(df: DataFrame, key: str, column: str, most: int = 2) -> DataFrame
     probes = sizes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("shift", F.explode(F.array(*map(F.lit, shifts))))
     probes = probes.withColumns({"at": start + F.col("shift"), "width": end - start}).where("at >= 0 and at + width <= length(value_b)")
     probes = probes.withColumn("piece", F.substr("value_b", F.col("at") + 1, F.col("width")))
-    met = cut.join(probes, ["size", "part", "piece"]).where("value_a < value_b").select("value_a", "value_b").distinct()
-    return met.withColumn("distance", F.levenshtein("value_a", "value_b", most)).where("distance >= 0")
+    return cut.join(probes, ["size", "part", "piece"]).where("value_a <> value_b").select(F.least("value_a", "value_b").alias("value_a"), F.greatest("value_a", "value_b").alias("value_b")).distinct()
 
 
 def similar_names(df: DataFrame, column: str, above: float = 0.85, block: Column | None = None) -> DataFrame:

@@ -125,6 +125,16 @@ def test_simhash():
     assert fingerprint.features("a bc") == ["a b", " bc", "a", "bc"]
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.text("ab é你🎉\u2003ß", min_size=60, max_size=120))
+def test_long_texts_hash_as_short_ones(text):
+    low, votes = text.lower(), [0] * 64
+    for f in fingerprint.features(low):
+        for k in range(64):
+            votes[k] += 1 if fingerprint.fnv1a(f) >> k & 1 else -1
+    assert fingerprint.simhash_text(text) == sum(1 << k for k in range(64) if votes[k] > 0)
+
+
 def test_simhash_columns(spark):
     df = spark.createDataFrame([("hello", "help"), (None, "x"), ("", "")], "a string, b string")
     rows = df.select(fingerprint.simhash("a").alias("a"), fingerprint.simhash("b").alias("b"), fingerprint.simhash_similarity("a", "b").alias("s")).collect()
