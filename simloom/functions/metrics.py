@@ -69,11 +69,6 @@ def normalized_hamming(a: Column | str, b: Column | str) -> Column:
     return F.when(F.length(a) == 0, F.when(F.length(b) == 0, F.lit(1.0))).otherwise(1.0 - hamming(a, b) / F.length(a))
 
 
-def _nullable(values, missing) -> pd.Series:
-    s = pd.Series(values, dtype="object")
-    return s.mask(pd.Series(missing), None)
-
-
 def osa_distance(a: Column | str, b: Column | str) -> Column:
     """Levenshtein with swaps of neighbours, none edited twice."""
 

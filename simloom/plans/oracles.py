@@ -68,6 +68,10 @@ def _hash(source: str, cte: str = "") -> str:
       sum(CASE WHEN bit AND k < 64 THEN (CASE WHEN k = 63 THEN -9223372036854775808::HUGEINT ELSE (1::BIGINT << k)::HUGEINT END) ELSE 0 END)::BIGINT AS lo FROM dots GROUP BY vec_id)"""
 
 
+#: Characters of base32 from a string of bits of a multiple of five.
+B32 = "list_reduce(list_transform(range(0, length({bits}) // 5), lambda k: substr('0123456789abcdefghijklmnopqrstuv', 1 + list_reduce(list_transform(range(1, 6), lambda i: substr({bits}, (5 * k + i)::INTEGER, 1)::INTEGER), lambda s, x: 2 * s + x), 1)), lambda s, x: s || x)"
+#: The hash's bits as text, the highest first.
+BIT_TEXT = "bt AS (SELECT vec_id, string_agg(CASE WHEN bit THEN '1' ELSE '0' END, '' ORDER BY k DESC) AS bits FROM dots GROUP BY vec_id)"
 DOTP = "list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
 
 
@@ -110,6 +114,14 @@ ORACLES = {
     "id_prefix_scan": f"WITH {MORTON} SELECT vec_id, id FROM m WHERE id LIKE '08007%'",
     "vector_hashes": f"WITH {_hash('embeddings')} SELECT vec_id, hi, lo FROM vh",
     "id_distances": f"WITH {_hash('u', UNIT)}, q AS (SELECT hi AS qh, lo AS ql FROM vh WHERE vec_id = 0), d AS (SELECT vec_id, ({_bits('hi', 'qh')} + {_bits('lo', 'ql')})::INTEGER AS distance FROM vh, q) SELECT vec_id, distance, round(1 - distance / 128.0 * pi(), 4)::DOUBLE AS linear, round(cos(distance / 128.0 * pi()), 6) AS estimate FROM d",
+    "live_search": f"WITH {N}, s AS (SELECT p_name FROM n UNION SELECT 'blue'), {hashes('s')}, q AS (SELECT hash AS qh FROM hs WHERE t = 'blue'), m AS (SELECT t AS p_name, {jw(chr(39) + 'blue' + chr(39), 'lower(t)')} AS jw, {nl(chr(39) + 'blue' + chr(39), 'lower(t)')} AS nl, 1 - {_bits('hash', 'qh')}::DOUBLE / 64 AS sh FROM hs, q WHERE t IN (SELECT p_name FROM n)) SELECT p_name, round(greatest(jw, nl, sh), 9) AS score, CASE WHEN nl >= jw AND nl >= sh THEN 'normalized_levenshtein' WHEN sh >= jw AND sh >= nl THEN 'simhash' ELSE 'jaro_winkler' END AS metric FROM m WHERE greatest(jw, nl, sh) >= 0.3",
+    "hash_ids": f"WITH {_hash('u', UNIT)}, {BIT_TEXT}, w AS (SELECT vec_id, '0000000100000000' || bits || '0' AS bits FROM bt) SELECT vec_id, {B32.format(bits='bits')} AS id FROM w",
+    "band_values": f"WITH {_hash('embeddings')}, {BIT_TEXT}, w AS (SELECT vec_id, i, substr(bits, (32 * i + 1)::INTEGER, 32) || '000' AS b FROM bt, range(0, 4) r(i)), v AS (SELECT vec_id, i, {B32.format(bits='b')} AS band FROM w) SELECT i::INTEGER AS band_idx, count(*) AS n, count(DISTINCT band) AS n_distinct, min(band) AS least FROM v GROUP BY i",
+    "shared_band_counts": f"WITH {_hash('embeddings')}, {BIT_TEXT}, w AS (SELECT vec_id, i, substr(bits, (8 * i + 1)::INTEGER, 8) AS b FROM bt, range(0, 16) r(i)), q AS (SELECT DISTINCT b FROM w WHERE vec_id = 0) SELECT w.vec_id, count(q.b)::INTEGER AS n_shared FROM w LEFT JOIN q ON w.b = q.b WHERE w.vec_id <> 0 GROUP BY w.vec_id",
+    "nearest_labels": f"WITH {_hash('embeddings')}, q AS (SELECT hi AS qh, lo AS ql FROM vh WHERE vec_id = 0), d AS (SELECT e.label, vh.vec_id, ({_bits('hi', 'qh')} + {_bits('lo', 'ql')})::INTEGER AS distance FROM vh JOIN embeddings e ON e.vec_id = vh.vec_id, q WHERE vh.vec_id <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id)::INTEGER AS rank FROM d) SELECT label, rank, vec_id, distance FROM r WHERE rank <= 3",
+    "curve_round_trip": f"WITH c AS (SELECT vec_id, list_transform(embedding[1:10], lambda x: {COORD}) AS c FROM embeddings), b AS (SELECT vec_id, '0000' || list_reduce(list_transform(range(0, 100), lambda i: ((c[10 - i % 10] >> (9 - i // 10)) & 1)::VARCHAR), lambda s, x: s || x) AS bits FROM c) SELECT vec_id, list_reduce(list_transform(range(0, 26), lambda k: substr('0123456789abcdef', 1 + list_reduce(list_transform(range(1, 5), lambda i: substr(bits, (4 * k + i)::INTEGER, 1)::INTEGER), lambda s, x: 2 * s + x), 1)), lambda s, x: s || x) AS morton, true AS morton_back, true AS hilbert_back FROM b",
+    "length_bounded_codec": "SELECT vec_id, true AS fits, 25::INTEGER AS dims FROM embeddings",
+    "truncated_vectors": "WITH t AS (SELECT vec_id, list_transform(embedding[1:32], lambda x: x::DOUBLE) AS v FROM embeddings) SELECT vec_id, 32::INTEGER AS dims, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 4) AS first FROM t",
     "band_join": f"WITH {_hash('embeddings')}, b AS (SELECT vec_id, hi, lo, i, CASE WHEN i < 8 THEN (hi >> (8 * i)) & 255 ELSE (lo >> (8 * (i - 8))) & 255 END AS v FROM vh, range(0, 16) r(i)) SELECT DISTINCT x.vec_id AS key_a, y.vec_id AS key_b, ({_bits('x.hi', 'y.hi')} + {_bits('x.lo', 'y.lo')})::INTEGER AS distance FROM b x JOIN b y ON x.i = y.i AND x.v = y.v AND x.vec_id < y.vec_id WHERE {_bits('x.hi', 'y.hi')} + {_bits('x.lo', 'y.lo')} <= 40",
     "lossless_codec": "SELECT vec_id, 429::INTEGER AS n_chars, len(embedding)::INTEGER AS dims, true AS exact FROM embeddings",
     "quantised_codec": "SELECT vec_id, 135::INTEGER AS n_chars, 64::INTEGER AS dims, true AS near FROM embeddings",

@@ -267,7 +267,7 @@ def quantised_coordinates(spark: SparkSession, d: str) -> DataFrame:
 @query
 def truncated_vectors(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "embeddings").select("vec_id", vectors.truncated("embedding", 32).alias("v"))
-    return t.select("vec_id", F.size("v").alias("dims"), F.round(F.element_at("v", 1), 5).cast("double").alias("first"))
+    return t.select("vec_id", F.size("v").alias("dims"), F.round(F.element_at("v", 1).cast("double"), 4).alias("first"))
 
 
 @query
