@@ -10,13 +10,25 @@ from __future__ import annotations
 STEM, WORD = False, True
 #: Edits allowed by the length of a term.
 EDITS = ((9, 2), (5, 1), (0, 0))
-MOST_STATES = 100_000
+MOST_STATES = 20_000
 
 
 def edits_for(term: str) -> int:
     return next(e for n, e in EDITS if len(term) >= n)
 
 
+class State(dict):
+    """A state of the automaton; maps a character to the next state, None where no term is left."""
+
+    __slots__ = ("done", "found", "lexicon", "nodes")
+
+    def __missing__(self, c: str) -> State | None:
+        if c and c not in self.lexicon.alphabet:
+            return self[""]
+        self[c] = after = self.lexicon.step(self, c)
+        return after
+
+
 class Lexicon:
     """Matches words against terms: pairs of a string and whether it is a whole word."""
 
@@ -38,15 +50,13 @@ class Lexicon:
                 self.reach[node] = max(self.reach[node], allowed)
             self.ends[node].append(k)
         self.alphabet = {c for term, _ in terms for c in term}
-        self._reset()
+        self.reset()
 
-    def _reset(self) -> None:
-        self._ids: dict[tuple, int] = {}
-        self._sets: list[tuple] = []
-        self._steps: list[dict[str, int]] = []
-        self._start = self._state({0: 0}, {})
+    def reset(self) -> None:
+        self.states: dict[tuple, State] = {}
+        self.start = self._state({0: 0}, {})
 
-    def _state(self, nodes: dict[int, int], done: dict[int, int]) -> int:
+    def _state(self, nodes: dict[int, int], done: dict[int, int]) -> State | None:
         """``nodes``: least edits by node; ``done``: by stem that has matched already."""
         todo = list(nodes)
         while todo:  # skip characters of terms
@@ -61,42 +71,36 @@ class Lexicon:
                 term, whole = self.terms[k]
                 if whole == STEM and e <= edits_for(term):
                     done[k] = min(e, done.get(k, 99))
+        if not nodes and not done:
+            return None
         key = (tuple(sorted(nodes.items())), tuple(sorted(done.items())))
-        if key not in self._ids:
-            self._ids[key] = len(self._sets)
-            self._sets.append(key)
-            self._steps.append({})
-        return self._ids[key]
+        state = self.states.get(key)
+        if state is None:
+            state = self.states[key] = State()
+            state.lexicon, (state.nodes, state.done) = self, key
+            found = [(e, k) for k, e in state.done]
+            found += [(e, k) for node, e in state.nodes for k in self.ends[node] if self.terms[k][1] == WORD and e <= edits_for(self.terms[k][0])]
+            state.found = min(found)[::-1] if found else None
+        return state
 
-    def _step(self, state: int, c: str) -> int:
+    def step(self, state: State, c: str) -> State | None:
         nodes: dict[int, int] = {}
-        for node, e in self._sets[state][0]:
+        for node, e in state.nodes:
             if e + 1 <= self.reach[node]:
                 nodes[node] = min(e + 1, nodes.get(node, 99))
             for letter, child in self.children[node].items():
                 cost = e + (letter != c)
                 if cost <= self.reach[child]:
                     nodes[child] = min(cost, nodes.get(child, 99))
-        return self._state(nodes, dict(self._sets[state][1]))
+        return self._state(nodes, dict(state.done))
 
     def match(self, word: str) -> tuple[int, int] | None:
         """The nearest term, earlier terms first, and its distance."""
-        if len(self._sets) > MOST_STATES:
-            self._reset()
-        state, steps = self._start, self._steps
+        if len(self.states) > MOST_STATES:
+            self.reset()
+        state = self.start
         for c in word:
-            if c not in self.alphabet:
-                c = ""
-            nxt = steps[state].get(c)
-            if nxt is None:
-                nxt = steps[state][c] = self._step(state, c)
-            state = nxt
-            if not self._sets[state][0] and not self._sets[state][1]:
+            state = state[c]
+            if state is None:
                 return None
-        nodes, done = self._sets[state]
-        found = [(e, k) for k, e in done]
-        found += [(e, k) for node, e in nodes for k in self.ends[node] if self.terms[k][1] == WORD and e <= edits_for(self.terms[k][0])]
-        if not found:
-            return None
-        e, k = min(found)
-        return k, e
+        return state.found

@@ -2,7 +2,8 @@
 
 Learning, from labelled rows that aren't held out: counts of words and of
 their prefixes in toxic and other texts give a lexicon of whole words and
-stems, each weighted by the log ratio of its rates.  The lexicon's Levenshtein
+stems, each weighted by the log ratio of its rates (texts that repeat count
+once).  The lexicon's Levenshtein
 automata, intersected with its trie, also match misspelled forms; a term's
 forms at each distance get a weight of their own.  A window around each match
 tells quotation (quotation marks around it, a word of reporting before it)
@@ -34,16 +35,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from simloom.llm.levenshtein import STEM, WORD, Lexicon
-from simloom.llm.shared import written
+from simloom.llm.levenshtein import MOST_STATES, STEM, WORD, Lexicon
+from simloom.llm.shared import free_name, lean, slices, written
 
 FIT_ROWS = 20_000
-TERMS = 256
+TERMS = 64
 CANDIDATES = 4096
 THRESHOLD = 0.3
 PREFIXES = range(3, 11)
-#: Least documents, least evidence (G squared) and least lift of a term.
-MIN_DOCS, MIN_EVIDENCE, MIN_LIFT = 3, 16.0, 3.0
+#: Least documents (also as a share of the toxic ones), evidence (G squared) and lift of a term.
+MIN_DOCS, MIN_SHARE, MIN_EVIDENCE, MIN_LIFT = 3, 0.01, 16.0, 3.0
 WINDOW = 60
 QUOTED_PRIOR = 0.35
 FUZZY_PRIOR = 0.7
@@ -51,7 +52,6 @@ EVIDENCE = 8
 _TOKEN = re.compile(r"[^\W_]+")
 _QUOTE = re.compile(r"\"[^\"\n]{1,300}\"|“[^”\n]{1,300}”|„[^“\n]{1,300}“|«[^»\n]{1,300}»|‘[^’\n]{1,300}’")
 _REPORT = re.compile(r"\b(?:said|says|wrote|writes|called|quoted|quote|the word|the term|sagte|schrieb|nannte|das wort|a dit|écrit|le mot|appelé|dijo|escribió|la palabra|llamó)\b")
-_MEMO = 500_000
 
 
 def held_out(key: Column) -> Column:
@@ -70,34 +70,36 @@ class Model:
         return Scorer(self)
 
 
-class _Memo(dict):
-    """Weighted matches by word."""
-
-    def __init__(self, model: Model):
-        super().__init__()
-        self.lexicon, self.weights = Lexicon(model.terms), model.weights
-
-    def __missing__(self, word: str):
-        if len(self) > _MEMO:
-            self.clear()
-        found = self.lexicon.match(word)
-        self[word] = found = found if found and self.weights.get(found, 1.0) > 0 else None
-        return found
-
-
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.memo = model, _Memo(model)
+        self.model, self.lexicon = model, Lexicon(model.terms)
+
+    def _found(self, words: set[str]) -> dict[str, tuple[int, int]]:
+        """Words that match, with term and distance; only matches that weigh something."""
+        if len(self.lexicon.states) > MOST_STATES:
+            self.lexicon.reset()
+        out, start = {}, self.lexicon.start
+        for w in words:
+            state = start
+            for c in w:
+                state = state[c]
+                if state is None:
+                    break
+            else:
+                if state.found and self.model.weights.get(state.found, 1.0) > 0:
+                    out[w] = state.found
+        return out
 
     def matches(self, text: str) -> tuple[int, list[tuple[str, tuple[int, int], bool]]]:
         """Number of words; of each match the word, its term and distance, and whether it is quoted."""
         low = text.lower()
-        words, memo = _TOKEN.findall(low), self.memo
-        if not any(memo[w] for w in set(words)):
+        words = _TOKEN.findall(low)
+        memo = self._found(set(words)) if self.model.terms else {}
+        if not memo:
             return len(words), []
         spans, out = [m.span() for m in _QUOTE.finditer(low)], []
         for m in _TOKEN.finditer(low):
-            found = memo[m[0]]
+            found = memo.get(m[0])
             if found:
                 a, b = m.span()
                 quoted = any(x < a and b < y for x, y in spans) or bool(_REPORT.search(low, max(0, a - WINDOW), a))
@@ -131,7 +133,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c.clear()
         return pa.record_batch([pa.array(terms, pa.string()), *columns], names=["term", "d1", "d0", "f1", "f0"])
 
-    for b in batches:
+    for b in slices(batches):
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             tf = Counter()
             for w, n in Counter(_TOKEN.findall((text or "").lower())).items():
@@ -159,13 +161,13 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     n_known = known.count()
     share = min(1.0, fit_rows / max(n_known, 1))
     chosen = known.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * fit_rows)
-    rows = written(docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k").select(F.coalesce("text", F.lit("")).alias("text"), "y"), "labelled")
+    rows = written(docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k").select(F.coalesce("text", F.lit("")).alias("text"), "y").groupBy("text").agg(F.max("y").alias("y")), "labelled")
     n1, n0 = (rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0))).first())
     if not n1 or not n0:
         return Model()
-    counts = rows.mapInArrow(_term_counts, "term string, d1 long, d0 long, f1 long, f0 long").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("d1", "d0", "f1", "f0")])
+    counts = rows.mapInArrow(lean(_term_counts), "term string, d1 long, d0 long, f1 long, f0 long").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("d1", "d0", "f1", "f0")])
     lift = (F.col("d1") / n1) / ((F.col("d0") + 0.5) / (n0 + 1))
-    good = counts.where((F.col("d1") >= MIN_DOCS) & (lift >= MIN_LIFT)).withColumn("g2", _g2(F.col("d1"), F.col("d0"), n1, n0)).where(F.col("g2") >= MIN_EVIDENCE)
+    good = counts.where((F.col("d1") >= max(MIN_DOCS, math.ceil(MIN_SHARE * n1))) & (lift >= MIN_LIFT)).withColumn("g2", _g2(F.col("d1"), F.col("d0"), n1, n0)).where(F.col("g2") >= MIN_EVIDENCE)
     top = good.orderBy(F.desc("g2"), F.desc(F.length("term")), "term").limit(CANDIDATES).collect()
     words1, words0 = rows.agg(F.sum(F.when(F.col("y") == 1, F.length("text"))), F.sum(F.when(F.col("y") == 0, F.length("text")))).first()
     ratio = math.log((words0 + 1) / (words1 + 1))
@@ -189,7 +191,7 @@ def _weigh_forms(rows: DataFrame, model: Model, ratio: float) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, seen = model.scorer(), Counter()
-        for b in batches:
+        for b in slices(batches):
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for _, (k, e), quoted in scorer.matches(text)[1]:
                     seen[k, e, quoted, toxic] += 1
@@ -197,7 +199,7 @@ def _weigh_forms(rows: DataFrame, model: Model, ratio: float) -> None:
         yield pa.record_batch([*[pa.array([int(x[i]) for x in keys], pa.int32()) for i in range(4)], pa.array([seen[x] for x in keys], pa.int64())], names=["k", "e", "q", "y", "n"])
 
     forms, quotes = Counter(), Counter()
-    for r in rows.mapInArrow(run, "k int, e int, q int, y int, n long").groupBy("k", "e", "q", "y").agg(F.sum("n").alias("n")).collect():
+    for r in rows.mapInArrow(lean(run), "k int, e int, q int, y int, n long").groupBy("k", "e", "q", "y").agg(F.sum("n").alias("n")).collect():
         forms[r["k"], r["e"], r["y"]] += r["n"]
         if r["e"] == 0:
             quotes[r["q"], r["y"]] += r["n"]
@@ -215,11 +217,11 @@ def _weigh_forms(rows: DataFrame, model: Model, ratio: float) -> None:
 def _fit(rows: DataFrame, model: Model, ridge: float = 0.5, steps: int = 40) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
-        for b in batches:
+        for b in slices(batches):
             x = [scorer.features(t) for t in b.column(0).to_pylist()]
             yield pa.record_batch([pa.array(x, pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
 
-    table = rows.mapInArrow(run, "x array<double>, y int").toArrow()  # at most 2 * fit_rows short rows
+    table = rows.mapInArrow(lean(run), "x array<double>, y int").toArrow()  # at most 2 * fit_rows short rows
     x = np.array(table.column("x").to_pylist()).reshape(table.num_rows, -1)
     y = np.array(table.column("y").to_pylist(), float)
     order = np.lexsort([*x.T, y])  # sums don't depend on the order of rows
@@ -244,11 +246,11 @@ def scored(df: DataFrame, model: Model, text: str = "text", score: str = "score"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
-        for b in batches:
+        for b in slices(batches):
             s = [scorer.score(t or "") for t in b.column(at).to_pylist()]
             yield pa.record_batch([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, score])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(score, DoubleType())]))
+    return df.mapInArrow(lean(run), StructType([*df.schema.fields, StructField(score, DoubleType())]))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -258,18 +260,16 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
-        for b in batches:
+        for b in slices(batches):
             s = [scorer.score(t or "") for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
-    out = narrow.mapInArrow(run, "doc_id long, score double")
+    out = narrow.mapInArrow(lean(run), "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with their columns."""
     model = learn(docs, labels, key, text)
-    name = "__score"
-    while name in docs.columns:
-        name += "_"
+    name = free_name(docs, "toxicity")
     return scored(docs, model, text, name).where(F.col(name) < threshold).drop(name)
