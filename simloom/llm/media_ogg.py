@@ -178,6 +178,8 @@ def demultiplex(data: bytes, samples_of=len) -> dict[int, Stream]:
         if held is not None and (gap or not page.flags & CONTINUED):
             stream.lost += 1
             held = None
+        elif gap:  # whole pages are missing, at least a packet each
+            stream.lost += 1
         skip = bool(page.flags & CONTINUED) and held is None
         stream.lost += skip
         at, done = 0, []

@@ -31,6 +31,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from simloom.llm.shared import free_name
+
 KEY = "simloom"
 ROUNDS = 8
 KINDS = ("email", "iban", "ssn", "date", "ip", "phone", "card")
@@ -195,16 +197,10 @@ def _kind(m: str) -> str:
     )
 
 
-def _free(df: DataFrame, name: str) -> str:
-    while name in df.columns:
-        name += "_"
-    return name
-
-
 def found_and_replaced(df: DataFrame, text: str = "text", key: str = KEY) -> tuple[DataFrame, Column, Column]:
     """``df`` with helper columns, the pseudonymised text, and the kinds of what was replaced."""
     build = _Build(key)
-    found, gaps, news = (_free(df, n) for n in ("__found", "__gaps", "__news"))
+    found, gaps, news = (free_name(df, n) for n in ("pii_found", "pii_gaps", "pii_news"))
     may = F.coalesce(F.col(text).rlike(POSSIBLE), F.lit(False))
     out = df.withColumn(found, F.when(may, F.regexp_extract_all(text, F.lit(f"(?:{PATTERN})"), F.lit(0))))
     some = F.coalesce(F.size(found) > 0, F.lit(False))

@@ -30,13 +30,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from simloom.llm.shared import word_count, written
+from simloom.llm.shared import free_name, word_count, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 LIMIT = 3
 RANGES = 4096
 #: Documents of one source and hash range; sources and ranges only set how work is dealt out.
-PER_RANGE = 4096
+PER_RANGE = 512
 SEED = "mix"
 
 
@@ -61,7 +61,7 @@ def _hash(key: Column) -> Column:
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row per document with its source's target and the words taken of it."""
-    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
+    sized = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
     sized = written(sized.withColumn("h", _hash(F.col("doc_id"))), "mix-sizes")
     totals = written(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "mix-totals")
     goal = targets(totals.drop("n"))
@@ -117,11 +117,12 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     Rows of equal key, source and size are alike to the mix; the copies taken
     of them are shared out evenly, the rest to any of them.
     """
-    share = mixed(docs, key, text, source).where("size > 0").select(F.col("doc_id").alias("__key"), F.col("size").alias("__size"), (F.col("taken") / F.col("size")).cast("long").alias("__copies"))
-    copies = share.groupBy("__key", "__size").agg(F.ceil(F.avg("__copies")).cast("int").alias("__copies")).where("__copies > 0")
-    sized = docs.withColumn("__size", word_count(F.col(text)))
-    met = sized.join(copies, sized[key].eqNullSafe(copies["__key"]) & (sized["__size"] == copies["__size"]))
-    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[sized[c] for c in docs.columns])
+    k, size, other, n, copy = (free_name(docs, name) for name in ("mix_key", "mix_size", "mix_words", "mix_copies", "mix_copy"))
+    share = mixed(docs, key, text, source).where("size > 0").select("doc_id", "size", (F.col("taken") / F.col("size")).cast("long").alias("n"))
+    copies = share.groupBy(F.col("doc_id").alias(k), F.col("size").alias(other)).agg(F.ceil(F.avg("n")).cast("int").alias(n)).where(F.col(n) > 0)
+    sized = docs.withColumn(size, word_count(F.col(text)))
+    met = sized.join(copies, sized[key].cast("long").eqNullSafe(copies[k]) & (sized[size] == copies[other]))
+    return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
 
 
 ORACLE = """
