@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simloom.llm.components import roots
-from simloom.llm.shared import written
+from simloom.llm.shared import free_name, lean, slices, written
 from simloom.llm.simhash_wide import wide_fingerprints, wide_links
 
 BITS = 64
@@ -71,12 +71,12 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", words:
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             raw = b.column(1).cast(pa.binary()).to_pylist()
             fp = np.array([fingerprint(t or b"", words) for t in raw], np.uint64).view(np.int64)
             yield pa.record_batch([b.column(0), pa.array(fp)], names=["k", "fp"])
 
-    return df.select(F.col(key).alias("k"), text).mapInArrow(run, f"k {kind}, fp long").withColumnRenamed("k", key)
+    return df.select(F.col(key).alias("k"), text).mapInArrow(lean(run), f"k {kind}, fp long").withColumnRenamed("k", key)
 
 
 # planning
@@ -95,7 +95,7 @@ def joint_counts(nodes: DataFrame) -> tuple[int, np.ndarray]:
         flat = np.append(total.ravel(), n)
         yield pa.record_batch([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat.astype(np.int64))], names=["at", "n"])
 
-    rows = nodes.select("fp").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    rows = nodes.select("fp").mapInArrow(lean(run), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
     flat = np.zeros(BITS * BITS + 1)
     for r in rows:
         flat[r["at"]] = r["n"]
@@ -289,10 +289,11 @@ def first_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", words:
 
     Of rows that repeat that key one stays.  All columns are returned.
     """
-    found = similar_texts(df.select(F.col(key).alias("__key"), F.col(text).alias("__text")), "__key", "__text", words, similarity)
-    heads = found.where(F.col("__key").eqNullSafe(F.col("component_id"))).groupBy("__key").agg(F.count("*").alias("__n"))
-    kept = df.join(heads, df[key].eqNullSafe(heads["__key"]))
-    once = kept.where("__n = 1").drop("__key", "__n")
-    row = F.struct(*[F.col(c) for c in df.columns])
-    again = kept.where("__n > 1").groupBy("__key").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("__row"))
-    return once.unionAll(again.select("__row.*"))
+    k, n, r = (free_name(df, name) for name in ("head", "copies", "row"))
+    found = similar_texts(df.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text", words, similarity)
+    heads = found.where(F.col("key").eqNullSafe(F.col("component_id"))).groupBy(F.col("key").alias(k)).agg(F.count("*").alias(n))
+    kept = df.join(heads, df[key].eqNullSafe(heads[k]))
+    once = kept.where(F.col(n) == 1).drop(k, n)
+    row = F.struct(*[df[c] for c in df.columns])
+    again = kept.where(F.col(n) > 1).groupBy(k).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias(r))
+    return once.unionAll(again.select(*[F.col(r)[c].alias(c) for c in df.columns]))

@@ -26,10 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simloom.llm.shared import written
+from simloom.llm.shared import lean, slices, written
 
 BITS = 256
 RECALL = 0.9
+#: Fingerprints that are linked among themselves before a shuffle.
+GATHERED = 8192
 SEED = 11
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
@@ -56,11 +58,11 @@ def wide_fingerprints(df: DataFrame, key: str, text: str, words: int = 5) -> Dat
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             raw = b.column(1).cast(pa.binary()).to_pylist()
             yield pa.record_batch([b.column(0), pa.array([wide_fingerprint(t or b"", words) for t in raw], pa.binary())], names=["k", "fp"])
 
-    return df.select(F.col(key).alias("k"), text).mapInArrow(run, f"k {kind}, fp binary").withColumnRenamed("k", key)
+    return df.select(F.col(key).alias("k"), text).mapInArrow(lean(run), f"k {kind}, fp binary").withColumnRenamed("k", key)
 
 
 def plan(n: int, similarity: float, recall: float = RECALL) -> tuple[int, int, int]:
@@ -119,16 +121,28 @@ def _lead(words: np.ndarray, rows: np.ndarray, most: int) -> tuple[list[int], li
     return leaders, found
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``GATHERED`` rows."""
+    held, n = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if n >= GATHERED:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _within_batch(width: int, parts: int, most: int):
     """Links of a batch (part -1), and what stands for it in each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         positions = _positions(width, parts)
         weights = 1 << np.arange(width, dtype=np.int64)
-        for b in batches:
+        for b in _gathered(batches):
             n = b.num_rows
-            if not n:
-                continue
             raw = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(n, BITS // 8)
             order = np.lexsort(raw.T[::-1])
             raw = np.ascontiguousarray(raw[order])
@@ -212,7 +226,7 @@ def _and_end(batches: Iterator) -> Iterator:
 def wide_links(nodes: DataFrame, similarity: float = 0.8) -> DataFrame:
     """``u``, ``v``: links of distinct fingerprints ``fp``."""
     width, parts, most = plan(nodes.count(), similarity)
-    rows = written(nodes.select("fp").mapInArrow(_within_batch(width, parts, most), "part int, sig long, fp binary, other binary"), "partitions")
+    rows = written(nodes.select("fp").mapInArrow(lean(_within_batch(width, parts, most)), "part int, sig long, fp binary, other binary"), "partitions")
     inside = rows.where("part < 0").select(F.col("fp").alias("u"), F.col("other").alias("v"))
     met = rows.where("part >= 0").select("part", "sig", "fp").repartition("part", "sig").sortWithinPartitions("part", "sig", "fp")
-    return inside.unionAll(met.mapInArrow(_between_batches(most), "u binary, v binary").distinct())
+    return inside.unionAll(met.mapInArrow(lean(_between_batches(most)), "u binary, v binary").distinct())

@@ -31,9 +31,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simloom.llm.shared import written
+from simloom.llm.shared import lean, slices, written
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 RANGE_WORDS = 200_000
 LIMIT = 2048
 #: Below this code point normal form C changes nothing, and classes are listed here.
@@ -154,7 +154,7 @@ def _to_blocks(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, block, n = pre_tokenizer(path), _Block(), 0
         first = TaskContext.get().partitionId() << 32
-        for b in batches:
+        for b in slices(batches):
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 block.add(key, text or "", cut)
                 if block.bytes >= BLOCK_BYTES:
@@ -230,7 +230,7 @@ def token_counts(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
 
     ``path`` is a tokenizers file that every executor can read.
     """
-    blocks = written(df.select(F.col(key).cast("long"), text).mapInArrow(_to_blocks(path), BLOCK_SCHEMA), "pre-tokens")
+    blocks = written(df.select(F.col(key).cast("long"), text).mapInArrow(lean(_to_blocks(path)), BLOCK_SCHEMA), "pre-tokens")
     n_words = blocks.agg(F.sum("n_words")).first()[0] or 0
     ranges = max(1, -(-n_words // RANGE_WORDS))
     dealt = blocks.select("block", "words").mapInArrow(_deal(ranges), "range long, block long, words binary")
