@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from simloom.llm.components import roots
 from simloom.llm.shared import free_name, lean, slices, written
-from simloom.llm.simhash_wide import wide_fingerprints, wide_links
+from simloom.llm.shingle_join import marked_sets, similar_links
 
 BITS = 64
 HOT = 64
@@ -268,14 +268,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
 
 
 def similar_texts(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``key``, ``fp`` and ``component_id`` of texts whose shingle sets are about that similar (Jaccard).
+    """``key``, ``fp`` and ``component_id`` of texts whose shingle sets are at least that similar (Jaccard).
 
-    See ``simhash_wide``: so many bits differ then that partitions which
-    surely agree would be too narrow to search.
+    Exact, see ``shingle_join``; ``fp`` names the set.
     """
-    marked = written(wide_fingerprints(df, key, text, words), "fingerprints")
+    marked = written(marked_sets(df, key, text, words, similarity), "sets")
     nodes = written(marked.groupBy("fp").agg(F.min(key).alias("first")), "nodes")
-    return _named(marked, nodes, roots(wide_links(nodes, similarity)), key)
+    links = similar_links(marked, df.select(F.col(text).alias("text")), words, similarity)
+    return _named(marked, nodes, roots(links), key)
 
 
 def report(df: DataFrame) -> DataFrame:
