@@ -11,8 +11,9 @@ from direct use, with a factor that is learned where the rows show it.  A
 logistic model of the summed weights, their rate among all words and the
 number of distinct matches gives the score.
 
-The fit uses at most ``FIT_ROWS`` labelled rows (those of the least hashes)
-and a lexicon of at most ``TERMS`` terms; every text is scored as a whole.
+The fit uses at most ``FIT_ROWS`` labelled rows (those of the least hashes);
+the lexicon has all terms whose evidence and lift suffice.  Every text is
+scored as a whole.
 
 Defined cases: null and empty texts are scored as texts without matches; null
 ids count as held in (their remainder is that of no text); labels that are
@@ -39,12 +40,10 @@ from simloom.llm.levenshtein import MOST_STATES, STEM, WORD, Lexicon
 from simloom.llm.shared import free_name, lean, slices, written
 
 FIT_ROWS = 20_000
-TERMS = 64
-CANDIDATES = 4096
 THRESHOLD = 0.3
 PREFIXES = range(3, 11)
-#: Least documents (also as a share of the toxic ones), evidence (G squared) and lift of a term.
-MIN_DOCS, MIN_SHARE, MIN_EVIDENCE, MIN_LIFT = 3, 0.01, 16.0, 3.0
+#: Least documents, evidence (G squared) and lift of a term.
+MIN_DOCS, MIN_EVIDENCE, MIN_LIFT = 3, 16.0, 3.0
 WINDOW = 60
 QUOTED_PRIOR = 0.35
 FUZZY_PRIOR = 0.7
@@ -167,16 +166,18 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return Model()
     counts = rows.mapInArrow(lean(_term_counts), "term string, d1 long, d0 long, f1 long, f0 long").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("d1", "d0", "f1", "f0")])
     lift = (F.col("d1") / n1) / ((F.col("d0") + 0.5) / (n0 + 1))
-    good = counts.where((F.col("d1") >= max(MIN_DOCS, math.ceil(MIN_SHARE * n1))) & (lift >= MIN_LIFT)).withColumn("g2", _g2(F.col("d1"), F.col("d0"), n1, n0)).where(F.col("g2") >= MIN_EVIDENCE)
-    top = good.orderBy(F.desc("g2"), F.desc(F.length("term")), "term").limit(CANDIDATES).collect()
+    good = counts.where((F.col("d1") >= MIN_DOCS) & (lift >= MIN_LIFT)).withColumn("g2", _g2(F.col("d1"), F.col("d0"), n1, n0)).where(F.col("g2") >= MIN_EVIDENCE)
+    top = good.orderBy(F.desc("g2"), F.desc(F.length("term")), "term").collect()
     words1, words0 = rows.agg(F.sum(F.when(F.col("y") == 1, F.length("text"))), F.sum(F.when(F.col("y") == 0, F.length("text")))).first()
     ratio = math.log((words0 + 1) / (words1 + 1))
-    model, plain = Model(), []
+    model, plain, begun = Model(), set(), set()
     for r in top:
         term = r["term"].rstrip(" ")
-        if len(model.terms) == TERMS or any(term.startswith(p) or p.startswith(term) for p in plain):
+        starts = [term[:k] for k in range(1, len(term) + 1)]
+        if term in begun or not plain.isdisjoint(starts):
             continue
-        plain.append(term)
+        plain.add(term)
+        begun.update(starts)
         model.terms.append((term, WORD if r["term"].endswith(" ") else STEM))
         model.weights[len(plain) - 1, 0] = max(0.05, math.log((r["f1"] + 0.5) / (r["f0"] + 0.5)) + ratio)
     if not model.terms:
