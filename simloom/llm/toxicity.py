@@ -2,14 +2,18 @@
 
 Learning, from labelled rows that aren't held out: counts of words and of
 their prefixes in toxic and other texts give a lexicon of whole words and
-stems, each weighted by the log ratio of its rates (texts that repeat count
-once).  The lexicon's Levenshtein
-automata, intersected with its trie, also match misspelled forms; a term's
-forms at each distance get a weight of their own.  A window around each match
-tells quotation (quotation marks around it, a word of reporting before it)
-from direct use, with a factor that is learned where the rows show it.  A
-logistic model of the summed weights, their rate among all words and the
-number of distinct matches gives the score.
+stems, each weighted by the log ratio of its rates.  Evidence must come from
+texts of their own: of near copies (five-word shingles, Jaccard 0.8) with the
+same label one counts, else a passage that a group of copies shares would pass
+for a term.
+The lexicon's Levenshtein automata, intersected with its trie, also match
+misspelled forms; a term's forms at each distance get a weight of their own.
+A window around each match tells quotation (quotation marks around it, a word
+of reporting before it) from direct use.  A logistic model of the summed
+weights, their rate among all words and the number of distinct matches gives
+the score.  How much misspelled and quoted matches count beside plain ones is
+chosen by the cross-validated loss on the rows of the fit; where that can't
+tell, ``FUZZY_PRIOR`` and ``QUOTED_PRIOR`` stay.
 
 The fit uses at most ``FIT_ROWS`` labelled rows (those of the least hashes);
 the lexicon has all terms whose evidence and lift suffice.  Every text is
@@ -26,8 +30,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -37,7 +42,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from simloom.llm.levenshtein import MOST_STATES, STEM, WORD, Lexicon
-from simloom.llm.shared import free_name, lean, slices, written
+from simloom.llm.shared import dropped, free_name, lean, slices, written
+from simloom.llm.simhash_dedup import similar_texts
 
 FIT_ROWS = 20_000
 THRESHOLD = 0.3
@@ -45,14 +51,38 @@ PREFIXES = range(3, 11)
 #: Least documents, evidence (G squared) and lift of a term.
 MIN_DOCS, MIN_EVIDENCE, MIN_LIFT = 3, 16.0, 3.0
 WINDOW = 60
-QUOTED_PRIOR = 0.35
-FUZZY_PRIOR = 0.7
-EVIDENCE = 8
+#: Words whose match a task remembers.
+MOST_KNOWN = 200_000
+#: Shares of a match's weight that a quoted one, and a misspelled one, keep; the choices that are held against the prior.
+QUOTED_PRIOR, QUOTED = 0.35, (0.0, 0.15, 0.35, 0.6, 1.0)
+FUZZY_PRIOR, FUZZY = 1.0, (0.0, 0.5, 1.0)
+#: Weight of a misspelled form by its distance, until so many uses show another.
+FORM_PRIOR, EVIDENCE = 0.7, 8
+#: Least gain of mean log loss over the prior.
+GAIN, FOLDS = 1e-4, 4
 _TOKEN = re.compile(r"[^\W_]+")
-_QUOTE = re.compile(r"\"[^\"\n]{1,300}\"|“[^”\n]{1,300}”|„[^“\n]{1,300}“|«[^»\n]{1,300}»|‘[^’\n]{1,300}’")
+_MARK = re.compile(r"[\"“”„«»‘’\n]")
+#: Closing marks by opening one; other opening marks inside are part of the quotation.
+_CLOSING = {'"': '"', "“": "”", "„": "“”", "«": "»", "‘": "’"}
 _REPORT = re.compile(r"\b(?:said|says|wrote|writes|called|quoted|quote|the word|the term|sagte|schrieb|nannte|das wort|a dit|écrit|le mot|appelé|dijo|escribió|la palabra|llamó)\b")
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Spans between quotation marks that open and close on one line, in order."""
+    out, begun, closing = [], 0, ""
+    for m in _MARK.finditer(text):
+        c = m[0]
+        if c == "\n":
+            closing = ""
+        elif closing:
+            if c in closing:
+                out.append((begun, m.end()))
+                closing = ""
+        else:
+            begun, closing = m.start(), _CLOSING.get(c, "")
+    return out
+
+
 def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -63,6 +93,7 @@ class Model:
     #: Weight by term and distance.
     weights: dict[tuple[int, int], float] = field(default_factory=dict)
     quoted: float = QUOTED_PRIOR
+    fuzzy: float = FUZZY_PRIOR
     coefficients: list[float] | None = None
 
     def scorer(self) -> Scorer:
@@ -72,22 +103,23 @@ class Model:
 class Scorer:
     def __init__(self, model: Model):
         self.model, self.lexicon = model, Lexicon(model.terms)
+        self.known: dict[str, tuple[int, int] | None] = {}
 
     def _found(self, words: set[str]) -> dict[str, tuple[int, int]]:
-        """Words that match, with term and distance; only matches that weigh something."""
+        """Words that match, with term and distance."""
         if len(self.lexicon.states) > MOST_STATES:
             self.lexicon.reset()
-        out, start = {}, self.lexicon.start
-        for w in words:
+        if len(self.known) > MOST_KNOWN:
+            self.known.clear()
+        known, start = self.known, self.lexicon.start
+        for w in words.difference(known):
             state = start
             for c in w:
                 state = state[c]
                 if state is None:
                     break
-            else:
-                if state.found and self.model.weights.get(state.found, 1.0) > 0:
-                    out[w] = state.found
-        return out
+            known[w] = state.found if state is not None else None
+        return {w: f for w in words if (f := known[w]) is not None}
 
     def matches(self, text: str) -> tuple[int, list[tuple[str, tuple[int, int], bool]]]:
         """Number of words; of each match the word, its term and distance, and whether it is quoted."""
@@ -96,28 +128,40 @@ class Scorer:
         memo = self._found(set(words)) if self.model.terms else {}
         if not memo:
             return len(words), []
-        spans, out = [m.span() for m in _QUOTE.finditer(low)], []
+        spans, out = quotations(low), []
+        starts = [a for a, _ in spans]
         for m in _TOKEN.finditer(low):
             found = memo.get(m[0])
             if found:
                 a, b = m.span()
-                quoted = any(x < a and b < y for x, y in spans) or bool(_REPORT.search(low, max(0, a - WINDOW), a))
+                k = bisect_left(starts, a) - 1
+                quoted = (k >= 0 and b < spans[k][1]) or bool(_REPORT.search(low, max(0, a - WINDOW), a))
                 out.append((m[0], found, quoted))
         return len(words), out
 
-    def features(self, text: str) -> list[float]:
+    def counted(self, text: str) -> tuple[int, list[tuple[int, int, int, int, int]]]:
+        """Number of words; of each term, distance and quotation that match the uses and distinct words."""
         n, found = self.matches(text)
-        weight = sum(self.model.weights.get(f, 0.0) * (self.model.quoted if q else 1.0) for _, f, q in found)
-        rate = 100.0 * weight / max(n, 20)
-        return [1.0, math.log1p(weight), min(rate, 30.0) / 10.0, math.log1p(rate), math.log1p(len({w for w, _, _ in found})), math.log1p(n) / 10.0]
+        uses = Counter((*f, int(q)) for _, f, q in found)
+        words = Counter((*f, int(q)) for _, f, q in set(found))
+        return n, [(*k, c, words[k]) for k, c in uses.items()]
 
     def score(self, text: str) -> float:
         if self.model.coefficients is None:
             return 0.0
-        z = sum(a * b for a, b in zip(self.model.coefficients, self.features(text), strict=True))
+        x = features(np.array([_parts(*self.counted(text), self.model.weights)], float), self.model.quoted, self.model.fuzzy)[0]
+        z = float(sum(a * b for a, b in zip(self.model.coefficients, x.tolist(), strict=True)))
         return 1.0 / (1.0 + math.exp(-max(-35.0, min(35.0, z))))
 
 
+def features(parts: np.ndarray, quoted: float, fuzzy: float) -> np.ndarray:
+    """Inputs of the logistic model from rows of ``_parts``."""
+    shares = np.array([1.0, fuzzy, quoted, quoted * fuzzy])
+    n, weight, kinds = parts[:, 0], parts[:, 1:5] @ shares, parts[:, 5:9] @ shares
+    rate = 100.0 * weight / np.maximum(n, 20)
+    return np.stack([np.ones(len(n)), np.log1p(weight), np.minimum(rate, 30.0) / 10.0, np.log1p(rate), np.log1p(kinds), np.log1p(n) / 10.0], axis=1)
+
+
 # learning
 
 
@@ -158,9 +202,14 @@ def _g2(d1: Column, d0: Column, n1: int, n0: int) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(F.col("k").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("k"))).groupBy("k").agg(F.max("y").alias("y"))
     n_known = known.count()
-    share = min(1.0, fit_rows / max(n_known, 1))
-    chosen = known.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * fit_rows)
-    rows = written(docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k").select(F.coalesce("text", F.lit("")).alias("text"), "y").groupBy("text").agg(F.max("y").alias("y")), "labelled")
+    share = min(1.0, 1.2 * fit_rows / max(n_known, 1))
+    chosen = known.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.xxhash64("k"), "k").limit(fit_rows)
+    alike = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k").select(F.coalesce("text", F.lit("")).alias("text"), "y").groupBy("text").agg(F.max("y").alias("y"))
+    spread = max(2, docs.sparkSession.sparkContext.defaultParallelism)  # few rows, much work each
+    alike = written(alike.repartition(spread).withColumn("id", F.xxhash64("text")), "labelled")
+    groups = similar_texts(alike, "id", "text").groupBy("id").agg(F.min("component_id").alias("g"))
+    rows = written(alike.join(groups, "id").groupBy("g", "y").agg(F.min_by("text", F.struct("id", "text")).alias("text")).select("text", "y").repartition(spread), "labelled-once")
+    dropped(alike)
     n1, n0 = (rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0))).first())
     if not n1 or not n0:
         return Model()
@@ -182,51 +231,58 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         model.weights[len(plain) - 1, 0] = max(0.05, math.log((r["f1"] + 0.5) / (r["f0"] + 0.5)) + ratio)
     if not model.terms:
         return Model()
-    _weigh_forms(rows, model, ratio)
-    _fit(rows, model)
+    found = _matched(rows, model)
+    _weigh_forms(found, model, ratio)
+    _fit(found, model)
+    dropped(rows, found)
     return model
 
 
-def _weigh_forms(rows: DataFrame, model: Model, ratio: float) -> None:
-    """Weights of misspelled forms, and the factor of quoted matches."""
+def _matched(rows: DataFrame, model: Model) -> DataFrame:
+    """Of each row the label, words, and of each term, distance and quotation its uses and distinct words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, seen = model.scorer(), Counter()
+        scorer = model.scorer()
         for b in slices(batches):
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for _, (k, e), quoted in scorer.matches(text)[1]:
-                    seen[k, e, quoted, toxic] += 1
-        keys = list(seen)
-        yield pa.record_batch([*[pa.array([int(x[i]) for x in keys], pa.int32()) for i in range(4)], pa.array([seen[x] for x in keys], pa.int64())], names=["k", "e", "q", "y", "n"])
-
-    forms, quotes = Counter(), Counter()
-    for r in rows.mapInArrow(lean(run), "k int, e int, q int, y int, n long").groupBy("k", "e", "q", "y").agg(F.sum("n").alias("n")).collect():
-        forms[r["k"], r["e"], r["y"]] += r["n"]
-        if r["e"] == 0:
-            quotes[r["q"], r["y"]] += r["n"]
+            sizes, found = [], []
+            for text in b.column(0).to_pylist():
+                n, each = scorer.counted(text)
+                sizes.append(n)
+                found.append([x for m in each for x in m])
+            yield pa.record_batch([b.column(1), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int32()))], names=["y", "n", "found"])
+
+    return written(rows.mapInArrow(lean(run), "y int, n long, found array<int>"), "matched")
+
+
+def _weigh_forms(found: DataFrame, model: Model, ratio: float) -> None:
+    """Weights of misspelled forms."""
+    each = found.where("size(found) > 0").select("y", F.explode(F.expr("transform(sequence(0, cast(size(found) div 5 as int) - 1), i -> slice(found, i * 5 + 1, 5))")).alias("m"))
+    each = each.select("y", F.col("m")[0].alias("k"), F.col("m")[1].alias("e"), F.col("m")[3].alias("c")).where("e > 0")
+    forms = Counter()
+    for r in each.groupBy("k", "e", "y").agg(F.sum("c").alias("n")).collect():  # at most four a term
+        forms[r["k"], r["e"], r["y"]] = r["n"]
     for k in range(len(model.terms)):
         exact = model.weights[k, 0]
         for e in (1, 2):
             f1, f0 = forms[k, e, 1], forms[k, e, 0]
             learned = math.log((f1 + 0.5) / (f0 + 0.5)) + ratio
-            model.weights[k, e] = max(0.0, min(exact, learned)) if f1 + f0 >= EVIDENCE else FUZZY_PRIOR**e * exact
-    if quotes[1, 0] + quotes[1, 1] >= 4 * EVIDENCE:
-        inside, outside = (math.log((quotes[q, 1] + 0.5) / (quotes[q, 0] + 0.5)) + ratio for q in (1, 0))
-        model.quoted = min(1.0, max(0.0, inside / outside)) if outside > 0 else QUOTED_PRIOR
+            model.weights[k, e] = max(0.0, min(exact, learned)) if f1 + f0 >= EVIDENCE else FORM_PRIOR**e * exact
 
 
-def _fit(rows: DataFrame, model: Model, ridge: float = 0.5, steps: int = 40) -> None:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = model.scorer()
-        for b in slices(batches):
-            x = [scorer.features(t) for t in b.column(0).to_pylist()]
-            yield pa.record_batch([pa.array(x, pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
+def _parts(n: int, found: Iterable[tuple[int, int, int, int, int]], weights: dict[tuple[int, int], float]) -> list[float]:
+    """Words; weight and distinct words of matches that are exact, misspelled, quoted, quoted and misspelled.
 
-    table = rows.mapInArrow(lean(run), "x array<double>, y int").toArrow()  # at most 2 * fit_rows short rows
-    x = np.array(table.column("x").to_pylist()).reshape(table.num_rows, -1)
-    y = np.array(table.column("y").to_pylist(), float)
-    order = np.lexsort([*x.T, y])  # sums don't depend on the order of rows
-    x, y = x[order], y[order]
+    ``found``: of each term, distance and quotation the uses and distinct words.
+    """
+    total, kinds = [0.0] * 4, [0] * 4
+    for k, e, q, uses, words in sorted(found):
+        weight = weights.get((k, e), 0.0)
+        total[2 * q + (e > 0)] += uses * weight
+        kinds[2 * q + (e > 0)] += words * (weight > 0)
+    return [n, *total, *kinds]
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 40) -> np.ndarray:
     w, penalty = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
     penalty[0, 0] = 1e-6
     for _ in range(steps):
@@ -235,7 +291,39 @@ def _fit(rows: DataFrame, model: Model, ridge: float = 0.5, steps: int = 40) ->
         w += step
         if np.abs(step).max() < 1e-9:
             break
-    model.coefficients = [float(round(c, 9)) for c in w]
+    return w
+
+
+def _loss(x: np.ndarray, y: np.ndarray) -> float:
+    """Mean log loss of rows by models fitted on the other folds."""
+    fold, total = np.arange(len(y)) % FOLDS, 0.0
+    for k in range(FOLDS):
+        z = x[fold == k] @ _logistic(x[fold != k], y[fold != k])
+        total += float(np.logaddexp(0, np.where(y[fold == k] > 0, -z, z)).sum())
+    return total / len(y)
+
+
+def _fit(found: DataFrame, model: Model) -> None:
+    weights = model.weights
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [_parts(n, zip(*[iter(f)] * 5, strict=True), weights) for n, f in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.record_batch([pa.array(x, pa.list_(pa.float64())), b.column(0)], names=["x", "y"])
+
+    table = found.mapInArrow(run, "x array<double>, y int").toArrow()  # at most fit_rows short rows
+    parts = np.array(table.column("x").to_pylist()).reshape(table.num_rows, -1)
+    y = np.array(table.column("y").to_pylist(), float)
+    order = np.lexsort([*parts.T, y])  # sums don't depend on the order of rows
+    parts, y = parts[order], y[order]
+    if len(y) >= 8 * FOLDS:
+        best = _loss(features(parts, model.quoted, model.fuzzy), y) - GAIN
+        for quoted in QUOTED:
+            for fuzzy in FUZZY:
+                loss = _loss(features(parts, quoted, fuzzy), y)
+                if loss < best:
+                    best, model.quoted, model.fuzzy = loss, quoted, fuzzy
+    model.coefficients = [float(round(c, 9)) for c in _logistic(features(parts, model.quoted, model.fuzzy), y)]
 
 
 # scoring
