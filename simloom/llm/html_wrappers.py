@@ -11,22 +11,31 @@ siblings are matched in order by their tags and matched ones are merged.
 A page's stream is folded first (repeats of up to four siblings become one
 group), so a host's pages share few streams.  Pages are counted by stream,
 streams of a host are merged in two steps, first in parts of a host, then all
-parts, so a host may have any share of the pages.  Every wrapper slot gets a
-role from all its pages: the slots of the article are main text; a host whose
-wrapper has no article gets its text-rich, link-poor, varying slots.  Each
-stream is matched to its host's wrapper once, and its slots' roles are joined
-to its pages.
+parts, so a host may have any share of the pages.
+
+The main text is decided per stream from what the wrapper knows of its slots.
+A slot that stays constant, or whose text is mostly links, is no main text;
+any other weighs as many characters as all pages of the host have in it.
+Marks (article and main elements, words of class, id and role) are a factor of
+that weight.  From the root the search goes down to the child that has most of
+the weight, as long as one has; what it ends at holds the main text, all of
+its slots but those ruled out, short ones too.  If most of a host's text is
+constant its pages are copies, and constancy tells nothing.
 
 Defined cases: null or empty html gives an empty text; a null url is a host of
 its own; broken and unclosed markup is read with the tags that are implied;
-whole pages are read; repeated rows get equal results; an empty table gives no
-rows; other columns are ignored.
+elements nested over ``DEPTH`` deep are read as siblings at that depth; whole
+pages are read; repeated rows get equal results; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,16 +48,24 @@ from simloom.llm.shared import written
 BROADCAST_BYTES = 8 << 20
 HOST_PARTS = 16
 LONGEST_REPEAT = 4
-#: Sentences, not labels: least mean characters and most link share of a slot outside any article.
-LEAST_TEXT, MOST_LINKS = 40.0, 0.4
-
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|textarea|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[/!?][^>]*>",
-    re.IGNORECASE | re.DOTALL,
-)
+#: Levels of elements that are kept.
+DEPTH = 64
+#: Most link share of main text, and of main text that is marked as such.
+MOST_LINKS, MOST_MARKED_LINKS = 0.4, 0.8
+#: Pages in which a constant slot must have been seen; the share of constant text that tells copies.
+CONSTANT_PAGES, COPIES = 3, 0.5
+#: Weight of marked text beside other text, and the share of it that leads down to a child.
+MARKED, MOST = 20.0, 0.75
+#: Siblings times siblings that are aligned at best.
+ALIGNED = 40_000
+#: Wrappers that a task holds.
+HELD = 256
+
+#: Elements whose content isn't markup.
+_RAW = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in "script style noscript template svg textarea iframe".split()}
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+#: What a tag has before its end; an angle bracket may stand in a quoted value.
+_INSIDE = re.compile(r"(?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>])*+")
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -89,6 +106,53 @@ class Page:
     blocks: list[tuple[Node, str]]
 
 
+def markup(source: str) -> Iterator[tuple[str, bool, str, str]]:
+    """Pieces of a page: the text before a tag, whether the tag ends an element, its name and attributes.
+
+    The name is empty where no element begins or ends: after comments,
+    declarations and raw content, and at the end of the page.  Each character
+    is looked at a bounded number of times.
+    """
+    at, looked, n = 0, -1, len(source)
+    closed = -1  # the next end of any tag
+    while True:
+        k = source.find("<", max(at, looked))
+        if k < 0:
+            break
+        if source.startswith("<!--", k):
+            end = source.find("-->", k + 4)
+            yield source[at:k], False, "", ""
+            at = looked = n if end < 0 else end + 3
+            continue
+        if closed < k:
+            closed = source.find(">", k)
+            if closed < 0:
+                break
+        m = _NAME.match(source, k + 1)
+        if m is None:
+            if source[k + 1 : k + 2] in ("/", "!", "?"):
+                yield source[at:k], False, "", ""
+                at = looked = closed + 1
+            else:
+                looked = k + 1
+            continue
+        end = _INSIDE.match(source, m.end()).end()
+        if end >= n:  # no end outside of quotes
+            end = source.find(">", m.end())
+            if end < 0:
+                break
+        tag, attributes = m[2].lower(), source[m.end() : end]
+        before, at = source[at:k], end + 1
+        if tag in _RAW and not m[1]:
+            if not attributes.endswith("/"):
+                close = _RAW[tag].search(source, at)
+                at = close.end() if close else n
+            tag = ""
+        looked = at
+        yield before, bool(m[1]), tag, attributes
+    yield source[at:], False, "", ""
+
+
 def _kind(tag: str, attributes: str) -> str:
     """The tag with marks: ``!`` isn't main text, ``*`` is main text."""
     if tag in _LEFT_OUT:
@@ -108,9 +172,10 @@ def _kind(tag: str, attributes: str) -> str:
 def read(source: str) -> Page:
     """The tree of block tags and text slots of a page."""
     root = Node("^")
-    open_nodes, blocks = [root], []
+    open_nodes, open_tags, blocks = [root], [""], []
+    counts: dict[str, int] = {}
     pieces: list[str] = []
-    links = chars_in_links = at = 0
+    links = chars_in_links = 0
 
     def slot() -> None:
         nonlocal chars_in_links
@@ -125,60 +190,60 @@ def read(source: str) -> Page:
 
     def close(k: int) -> None:
         slot()
-        del open_nodes[k:]
+        for t in open_tags[k:]:
+            counts[t] -= 1
+        del open_nodes[k:], open_tags[k:]
 
-    for m in _MARKUP.finditer(source):
-        a, b = m.span()
-        if a > at:
-            pieces.append(source[at:a])
+    for before, ends, tag, attributes in markup(source):
+        if before:
+            pieces.append(before)
             if links:
-                chars_in_links += a - at
-        at = b
-        tag = m[3]
-        if tag is None:
+                chars_in_links += len(before)
+        if not tag:
             continue
-        tag = tag.lower()
         if tag in _INLINE:
             if tag == "a":
-                links = max(0, links - 1) if m[2] else links + 1
+                links = max(0, links - 1) if ends else links + 1
             continue
         if tag == "br":
             pieces.append(" ")
             continue
-        if m[2]:
-            for k in range(len(open_nodes) - 1, 0, -1):
-                name = open_nodes[k].tag.rstrip("!*")
-                if name == tag:
-                    close(k)
-                    break
+        if ends:
+            if counts.get(tag):
+                k = len(open_tags) - 1
+                while open_tags[k] != tag:
+                    k -= 1
+                close(k)
             else:
                 slot()
             links = 0
             continue
         slot()
         links = 0
-        last = open_nodes[-1].tag.rstrip("!*")
-        if last == "p" and tag in _CLOSES_P:
+        if open_tags[-1] == "p" and tag in _CLOSES_P:
             close(len(open_nodes) - 1)
-        ends = _ENDS.get(tag)
-        while ends and len(open_nodes) > 1 and open_nodes[-1].tag.rstrip("!*") in ends:
+        implied = _ENDS.get(tag)
+        while implied and open_tags[-1] in implied:
             close(len(open_nodes) - 1)
         if tag == "body":  # ends a head that was left open
-            while len(open_nodes) > 1 and open_nodes[-1].tag != "html":
+            while len(open_nodes) > 1 and open_tags[-1] != "html":
                 close(len(open_nodes) - 1)
-        node = Node(_kind(tag, m[4]))
-        open_nodes[-1].children.append(node)
-        if tag not in _VOID and not m[4].endswith("/"):
+        kind = _kind(tag, attributes)
+        inside = open_nodes[-1]
+        if len(open_nodes) <= DEPTH or (kind.endswith("!") and not inside.tag.endswith("!")):
+            node = Node(kind)
+            (inside if len(open_nodes) <= DEPTH else open_nodes[DEPTH]).children.append(node)
+        else:
+            node = inside
+        if tag not in _VOID and not attributes.endswith("/"):
             open_nodes.append(node)
-    if at < len(source):
-        pieces.append(source[at:])
+            open_tags.append(tag)
+            counts[tag] = counts.get(tag, 0) + 1
     slot()
     return Page(root, blocks)
 
 
 def hash_text(text: str) -> int:
-    import zlib
-
     return zlib.crc32(text.encode())
 
 
@@ -224,20 +289,54 @@ def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
         end += 1
     x, y = a[start : len(a) - end], b[start : len(b) - end]
+    middle = _longest(x, y) if len(x) * len(y) <= ALIGNED else _in_step(x, y)
+    return [(k, k) for k in range(start)] + [(start + i, start + j) for i, j in middle] + [(len(a) - end + k, len(b) - end + k) for k in range(end)]
+
+
+def _longest(x: list[str], y: list[str]) -> list[tuple[int, int]]:
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(len(x) - 1, -1, -1):
         for j in range(len(y) - 1, -1, -1):
             best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
-    middle, i, j = [], 0, 0
+    out, i, j = [], 0, 0
     while i < len(x) and j < len(y):
         if x[i] == y[j]:
-            middle.append((start + i, start + j))
+            out.append((i, j))
             i, j = i + 1, j + 1
         elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
             j += 1
-    return [(k, k) for k in range(start)] + middle + [(len(a) - end + k, len(b) - end + k) for k in range(end)]
+    return out
+
+
+def _in_step(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Of very many siblings: those that are the same number among the siblings of their tag, in order."""
+    seen, place = Counter(), {}
+    for j, tag in enumerate(y):
+        place[tag, seen[tag]] = j
+        seen[tag] += 1
+    pairs, seen = [], Counter()
+    for i, tag in enumerate(x):
+        j = place.get((tag, seen[tag]))
+        seen[tag] += 1
+        if j is not None:
+            pairs.append((i, j))
+    tails, back, at = [], [], []  # longest increasing run of j
+    for k, (_, j) in enumerate(pairs):
+        p = bisect_left(tails, j)
+        back.append(at[p - 1] if p else -1)
+        tails[p : p + 1], at[p : p + 1] = [j], [k]
+    out, k = [], at[-1] if at else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = back[k]
+    return out[::-1]
+
+
+def _form(node: Node) -> tuple:
+    """What siblings must share to be repeats of each other: the tag, and the tags inside."""
+    return node.tag, *sorted({c.tag for c in node.children})
 
 
 def _fold(nodes: list[Node]) -> list[Node]:
@@ -246,25 +345,26 @@ def _fold(nodes: list[Node]) -> list[Node]:
     for size in range(1, LONGEST_REPEAT + 1):
         if len(out) < 2 * size:
             break
-        folded: list[Node] = []
+        forms = [_form(n) for n in out]
+        kept: list[Node] = []
         i = 0
         while i < len(out):
-            here = [n.tag for n in out[i : i + size]]
-            if len(here) == size and [n.tag for n in out[i + size : i + 2 * size]] == here:
+            here = forms[i : i + size]
+            if len(here) == size and forms[i + size : i + 2 * size] == here:
                 group = out[i : i + size]
                 i += size
-                while [n.tag for n in out[i : i + size]] == here:
+                while forms[i : i + size] == here:
                     group = [_merge(x, y) for x, y in zip(group, out[i : i + size], strict=True)]
                     i += size
                 for n in group:
                     n.repeated = True
                 if size > 1:
-                    group = [Node("(" + " ".join(here) + ")", group, repeated=True)]
-                folded += group
+                    group = [Node("(" + " ".join(n.tag for n in group) + ")", group, repeated=True)]
+                kept += group
             else:
-                folded.append(out[i])
+                kept.append(out[i])
                 i += 1
-        out = folded
+        out = kept
     return out
 
 
@@ -276,15 +376,14 @@ def folded(node: Node) -> Node:
     return node
 
 
-def slots(node: Node, inside: str = "") -> Iterator[tuple[Node, bool, bool]]:
-    """Slots in order, whether each is in an article, and in a part that isn't main text."""
-    stack = [(node, False, False)]
+def slots(node: Node) -> Iterator[Node]:
+    """Slots in order."""
+    stack = [node]
     while stack:
-        n, main, other = stack.pop()
+        n = stack.pop()
         if n.tag == "#":
-            yield n, main, other
-        main, other = main or n.tag.endswith("*"), other or n.tag.endswith("!")
-        stack += [(c, main, other) for c in reversed(n.children)]
+            yield n
+        stack += reversed(n.children)
 
 
 def pattern(node: Node) -> str:
@@ -322,44 +421,74 @@ def parse(text: str) -> Node:
     return top.children[0]
 
 
-def roles(wrapper: Node) -> dict[int, bool]:
-    """By the identity of each wrapper slot whether it is main text."""
-    every = list(slots(wrapper))
-    if any(main and not other for _, main, other in every):
-        return {id(n): main and not other for n, main, other in every}
-    out = {}
-    for n, _, other in every:
-        fixed = n.text is not None and n.pages >= 3 and not n.repeated
-        rich = n.chars >= LEAST_TEXT * max(n.pages, 1) and n.links <= MOST_LINKS * n.chars
-        out[id(n)] = not other and not fixed and rich
-    return out
+@dataclass
+class Role:
+    """What a host's pages tell of a slot: all its characters, the share of links, and whether it is constant."""
+
+    chars: float
+    links: float
+    constant: bool
 
 
-def matched(stream: Node, wrapper: Node, role: dict[int, bool]) -> list[bool]:
-    """The role of each slot of a stream by the wrapper slot it is aligned with."""
-    out: dict[int, bool] = {}
+def roles(wrapper: Node) -> dict[int, Role]:
+    """Roles of a wrapper's slots, by their identity."""
+    out = {id(n): Role(n.chars, n.links / max(n.chars, 1), n.text is not None and n.pages >= CONSTANT_PAGES and not n.repeated) for n in slots(wrapper)}
+    text = [r for r in out.values() if r.links <= MOST_LINKS]
+    if sum(r.chars for r in text if r.constant) > COPIES * sum(r.chars for r in text):
+        for r in out.values():
+            r.constant = False
+    return out
 
-    def walk(a: list[Node], b: list[Node]) -> None:
-        met = {}
-        for i, j in _common([n.tag for n in a], [n.tag for n in b]):
-            met[i] = b[j]
-        by_tag = {n.tag: n for n in b}
+
+def aligned(stream: Node, wrapper: Node) -> dict[int, Node]:
+    """The wrapper slot of each slot of a stream, by identity; a slot without one is left out."""
+    out: dict[int, Node] = {}
+    todo = [([stream], [wrapper])]
+    while todo:
+        a, b = todo.pop()
+        met = {i: b[j] for i, j in _common([n.tag for n in a], [n.tag for n in b])}
+        by_tag = {n.tag: n for n in reversed(b)}
         for i, n in enumerate(a):
-            w = met.get(i) or by_tag.get(n.tag)  # else inside a group that the wrapper folded further
+            w = met.get(i) or by_tag.get(n.tag)
             if n.tag == "#":
-                out[id(n)] = role.get(id(w), False) if w is not None else False
+                if w is not None:
+                    out[id(n)] = w
             elif w is not None:
-                walk(n.children, w.children)
-            else:
+                todo.append((n.children, w.children))
+            else:  # inside a group that the wrapper folded further, or the other way round
                 inner = [x for g in b if g.tag.startswith("(") for x in g.children]
-                walk([n] if n.tag in {x.tag for x in inner} else n.children, inner or b)
+                todo.append(([n] if n.tag in {x.tag for x in inner} else n.children, inner or b))
+    return out
 
-    walk([stream], [wrapper])
-    found = [(n, main, other) for n, main, other in slots(stream)]
-    decided = [out.get(id(n), False) for n, _, _ in found]
-    if any(decided) or not found:
-        return decided
-    return [main and not other for _, main, other in found]
+
+def decided(stream: Node, wrapper: Node, role: dict[int, Role]) -> list[bool]:
+    """Whether each slot of a stream is main text."""
+    partner = aligned(stream, wrapper)
+    weight: dict[int, float] = {}
+    main: dict[int, bool] = {}
+    order, stack = [], [(stream, False, False)]
+    while stack:  # parents before children
+        n, marked, other = stack.pop()
+        order.append(n)
+        marked, other = marked or n.tag.endswith("*"), other or n.tag.endswith("!")
+        if n.tag == "#":
+            w = partner.get(id(n))
+            r = role[id(w)] if w is not None else Role(n.chars, n.links / max(n.chars, 1), False)
+            main[id(n)] = not other and not r.constant and r.links <= (MOST_MARKED_LINKS if marked else MOST_LINKS)
+            weight[id(n)] = main[id(n)] * r.chars * (1 - r.links) * (MARKED if marked else 1.0)
+        stack += [(c, marked, other) for c in n.children]
+    for n in reversed(order):
+        if n.tag != "#":
+            weight[id(n)] = sum(weight[id(c)] for c in n.children)
+    top = stream
+    while True:
+        inner = [c for c in top.children if any(x.tag != "#" for x in c.children)]
+        best = max(inner, key=lambda c: weight[id(c)], default=None)
+        if best is None or best.tag.startswith("(") or not weight[id(best)] or weight[id(best)] < MOST * weight[id(top)]:
+            break
+        top = best
+    kept = {id(n) for n in slots(top) if main[id(n)]}
+    return [id(n) in kept for n in slots(stream)]
 
 
 # dataflow
@@ -377,7 +506,7 @@ def _read_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 node.places = [k]
             root = folded(page.root)
             at = {}
-            for s, (node, _, _) in enumerate(slots(root)):
+            for s, node in enumerate(slots(root)):
                 for k in node.places:
                     at[k] = s
                 if node.repeated:
@@ -421,14 +550,16 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, tuple[Node, dict[int, bool]]] = {}
+    held: dict[str, tuple[Node, dict[int, Role]]] = {}
     for b in batches:
         keep = []
         for stream, wrapper in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
             if wrapper not in held:
+                if len(held) >= HELD:
+                    held.clear()
                 root = parse(wrapper)
                 held[wrapper] = (root, roles(root))
-            keep.append([k for k, main in enumerate(matched(parse(stream), *held[wrapper])) if main])
+            keep.append([k for k, main in enumerate(decided(parse(stream), *held[wrapper])) if main])
         yield pa.record_batch([b.column(0), b.column(1), pa.array(keep, pa.list_(pa.int32()))], names=["host", "shape", "keep"])
 
 
