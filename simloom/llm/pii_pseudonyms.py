@@ -21,23 +21,32 @@ Texts are taken apart at the matches and joined again, whole texts each;
 nothing is shuffled.  Texts without two digits in a row, a dotted digit or an
 at sign aren't searched further, as no pattern can match there.
 
+The key is asked for by every function; ``key_of`` reads it from the session's
+``spark.simloom.pii.key``.  Plans hold a digest of it, which is as secret as the
+key itself: who has it can undo the pseudonyms.
+
 Defined cases: a null text stays null and has no findings; empty texts stay
-empty; repeated rows get equal results; an empty table gives no rows; all
-other columns pass through, also ones named as the findings.
+empty; an address whose local part has over 64 characters isn't one, of over
+126 labels the first count; repeated rows get equal results; an empty table
+gives no rows; all other columns pass through, also ones named as the findings.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simloom.llm.shared import free_name
 
-KEY = "simloom"
+#: The setting that names the key.
+KEY_SETTING = "spark.simloom.pii.key"
 ROUNDS = 8
 KINDS = ("email", "iban", "ssn", "date", "ip", "phone", "card")
 _B, _E = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
+#: Local parts of up to 64 characters, up to 126 labels before the last: the limits of addresses, and of Java's recursion.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,}+"
 IBAN = _B + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _E
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 DATE = _B + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([/.])[0-9]{1,2}\1[0-9]{4})" + _E
@@ -69,7 +78,7 @@ class _Build:
     """SQL of the pseudonyms under a key."""
 
     def __init__(self, key: str):
-        self.key = f"cast(unhex('{key.encode().hex()}') as string)"
+        self.key = f"'{hashlib.sha256(key.encode()).hexdigest()}'"
 
     def prf(self, tweak: str, i: str, x: str) -> str:
         return f"cast(conv(substr(sha2(concat_ws('|', {self.key}, {tweak}, {i}, {x}), 256), 1, 15), 16, 10) as bigint)"
@@ -197,7 +206,15 @@ def _kind(m: str) -> str:
     )
 
 
-def found_and_replaced(df: DataFrame, text: str = "text", key: str = KEY) -> tuple[DataFrame, Column, Column]:
+def key_of(spark: SparkSession, default: str | None = None) -> str:
+    """The session's key; ``default``, if given, only serves where none is set."""
+    key = spark.conf.get(KEY_SETTING, None) or default
+    if not key:
+        raise ValueError(f"{KEY_SETTING} must name the key of the pseudonyms")
+    return key
+
+
+def found_and_replaced(df: DataFrame, key: str, text: str = "text") -> tuple[DataFrame, Column, Column]:
     """``df`` with helper columns, the pseudonymised text, and the kinds of what was replaced."""
     build = _Build(key)
     found, gaps, news = (free_name(df, n) for n in ("pii_found", "pii_gaps", "pii_news"))
@@ -212,15 +229,15 @@ def found_and_replaced(df: DataFrame, text: str = "text", key: str = KEY) -> tup
     return out, replaced, F.transform(F.filter(news, lambda x: x["k"].isNotNull()), lambda x: x["k"])
 
 
-def pseudonymised(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymised(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``df`` with its text pseudonymised, columns as before."""
-    out, replaced, _ = found_and_replaced(df, text, key)
+    out, replaced, _ = found_and_replaced(df, key, text)
     return out.select(*[replaced.alias(c) if c == text else F.col(c) for c in df.columns])
 
 
-def report(docs: DataFrame, key: str = KEY) -> DataFrame:
+def report(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, the whole text with pseudonyms, and counts by kind."""
-    out, replaced, kinds = found_and_replaced(docs.select("doc_id", "text"), "text", key)
+    out, replaced, kinds = found_and_replaced(docs.select("doc_id", "text"), key)
     one = out.select("doc_id", replaced.alias("text"), kinds.alias("kinds"))
     return one.select("doc_id", "text", *[F.coalesce(F.when(F.size("kinds") > 0, F.size(F.array_remove(F.transform("kinds", _equals(k)), False))), F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS])
 
