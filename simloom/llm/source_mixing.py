@@ -13,11 +13,12 @@ to and with it).  That word divided by the source's target is the copy's
 virtual finish time.  All copies in order of finish time are cut where their
 words reach the budget.
 
-Both running sums are range sorts whose ranges are bounded: hashes are
-uniform, so equal ranges of hashes hold equally many documents of a source
-however large it is; the cut is found by halving the axis of finish times
-into 4096 ranges, twice, and only copies of the one range that holds it are
-sorted together.  Only ids and sizes are shuffled.
+All running sums have bounded ranges: hashes are uniform, so equal ranges of
+hashes hold equally many documents of a source however large it is, and
+ranges are summed by blocks of 1024; sources, of which there may be many, are
+sorted by ranges of their own; the cut is found by halving the axis of finish
+times into 4096 ranges, twice, and only copies of the one range that holds it
+are sorted together.  Only ids and sizes are shuffled.
 
 Defined cases: a null text has size 0; null sources are a source of their own;
 documents without words are never taken; a source without words has target 0;
@@ -27,6 +28,8 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,21 +40,38 @@ LIMIT = 3
 RANGES = 4096
 #: Documents of one source and hash range; sources and ranges only set how work is dealt out.
 PER_RANGE = 512
+#: Hash ranges of a block.
+PER_BLOCK = 1024
 SEED = "mix"
 
 
+def _running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with running sums of ``sums`` over all earlier rows in ``order``, the row left out.
+
+    Rows are sorted by ranges; of each range only its sums are brought together.
+    """
+    values = {f"{name}_": value for name, value in sums.items()}
+    placed = written(df.withColumns(values).repartitionByRange(*order).withColumn("at", F.spark_partition_id()), "mix-sorted")
+    parts = placed.groupBy("at").agg(*[F.sum(c).alias(c) for c in values])  # a row per range
+    before = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("at", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}before") for c in values])
+    within = Window.partitionBy("at").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.join(F.broadcast(offsets), "at")
+    return out.withColumns({name: F.col(f"{name}_before") + F.coalesce(F.sum(f"{name}_").over(within), F.lit(0)) for name in sums}).drop("at", *values, *[f"{c}before" for c in values])
+
+
 def targets(totals: DataFrame) -> DataFrame:
     """``source``, ``source_size``, ``target`` from one row per source."""
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
-    w = totals.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(WEIGHTS))) + 1).cast("int")))
-    w = w.withColumn("cap", LIMIT * F.col("source_size").cast("double"))
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
-    before, after = by_ratio.rowsBetween(Window.unboundedPreceding, -1), by_ratio.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    level = (F.sum("source_size").over(everything).cast("double") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    w = w.withColumn("level", level).withColumn("fits", F.col("level") * F.col("weight") <= F.col("cap"))
-    water = F.coalesce(F.max(F.when(F.col("fits"), F.col("level"))).over(everything), F.lit(float("inf")))
-    return w.withColumn("water", water).select("source", "source_size", F.least(F.col("water") * F.col("weight"), F.col("cap")).alias("target"))
+    by_name = [F.col("source").isNull(), F.coalesce("source", F.lit(""))]
+    w = _running(totals, by_name, {"place": F.lit(1)})
+    w = w.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod("place", F.lit(len(WEIGHTS))) + 1).cast("int")))
+    w = w.withColumn("cap", F.lit(LIMIT) * F.col("source_size"))
+    w = written(_running(w, [F.col("cap") / F.col("weight"), *by_name], {"caps": F.col("cap"), "weights": F.col("weight")}), "mix-levels")
+    size, weight = w.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(size) - F.col("caps")).cast("double") / (F.lit(weight) - F.col("weights"))
+    water = w.where(level * F.col("weight") <= F.col("cap")).agg(F.max(level)).first()[0]
+    water = math.inf if water is None else water
+    return w.select("source", "source_size", F.least(F.lit(water) * F.col("weight"), F.col("cap").cast("double")).alias("target"))
 
 
 def _hash(key: Column) -> Column:
@@ -61,6 +81,10 @@ def _hash(key: Column) -> Column:
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row per document with its source's target and the words taken of it."""
+    return _mixed(docs, key, text, source).drop("source")
+
+
+def _mixed(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     sized = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
     sized = written(sized.withColumn("h", _hash(F.col("doc_id"))), "mix-sizes")
     totals = written(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "mix-totals")
@@ -69,11 +93,13 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     ranges = max(1, -(-n_rows // PER_RANGE))
     sized = sized.withColumn("range", F.floor(F.col("h") / F.lit(float(1 << 60)) * ranges))
 
-    # running size within (source, range), and the sizes of the source's earlier ranges
-    sums = sized.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
-    earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("in_range").over(earlier), F.lit(0)))
-    starts = sums.join(goal, sums["source"].eqNullSafe(goal["source"])).select(sums["source"], "range", "before", "source_size", "target")
+    # running size within (source, range), sizes of the block's earlier ranges, and of the source's earlier blocks
+    sums = written(sized.groupBy("source", "range").agg(F.sum("size").alias("in_range")).withColumn("block", F.floor(F.col("range") / PER_BLOCK)), "mix-ranges")
+    earlier = lambda by, order: F.coalesce(F.sum("in_range").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = sums.groupBy("source", "block").agg(F.sum("in_range").alias("in_range")).select("source", "block", earlier(["source"], "block").alias("before_block"))
+    blocks = blocks.join(goal, blocks["source"].eqNullSafe(goal["source"])).select(blocks["source"], "block", "before_block", "source_size", "target")
+    starts = sums.withColumn("before", earlier(["source", "block"], "range")).alias("r").join(blocks.alias("k"), F.col("r.source").eqNullSafe(F.col("k.source")) & (F.col("r.block") == F.col("k.block")))
+    starts = starts.select("r.source", "range", (F.col("before") + F.col("before_block")).alias("before"), "source_size", "target")
     within = Window.partitionBy("source", "range").orderBy("h", F.col("doc_id"), "size").rowsBetween(Window.unboundedPreceding, 0)
     queued = sized.withColumn("within", F.sum("size").over(within)).alias("a").join(starts.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.range") == F.col("b.range")))
     queued = written(queued.select("doc_id", "a.source", "size", "h", "source_size", "target", (F.col("before") + F.col("within")).alias("ends")), "mix-queue")
@@ -108,21 +134,36 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
             end = F.struct(F.lit(first_out["t"]).alias("t"), F.lit(first_out["n"]).alias("n"), F.lit(first_out["s"]).alias("s"), F.lit(first_out["h"]).cast("long").alias("h"), F.lit(first_out["k"]).cast("long").alias("k"), F.lit(first_out["size"]).cast("long").alias("size"))
             count = sum((F.when(moving & (F.col("target") > 0) & (place(ends_at(e)) < end), F.col("size")).otherwise(F.lit(0)) for e in range(LIMIT)), F.lit(0))
             taken = count.cast("long")
-    return queued.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return queued.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with its columns.
 
-    Rows of equal key, source and size are alike to the mix; the copies taken
-    of them are shared out evenly, the rest to any of them.
+    Rows of equal key, source and size are alike to the mix.  The copies taken
+    of such a group are shared out evenly, those left over to any of its rows,
+    so exactly the words taken are there.
     """
-    k, size, other, n, copy = (free_name(docs, name) for name in ("mix_key", "mix_size", "mix_words", "mix_copies", "mix_copy"))
-    share = mixed(docs, key, text, source).where("size > 0").select("doc_id", "size", (F.col("taken") / F.col("size")).cast("long").alias("n"))
-    copies = share.groupBy(F.col("doc_id").alias(k), F.col("size").alias(other)).agg(F.ceil(F.avg("n")).cast("int").alias(n)).where(F.col(n) > 0)
-    sized = docs.withColumn(size, word_count(F.col(text)))
-    met = sized.join(copies, sized[key].cast("long").eqNullSafe(copies[k]) & (sized[size] == copies[other]))
-    return met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
+    k, src, size, n, m, row, part, at, before, copy = (free_name(docs, f"mix_{name}") for name in ("key", "source", "words", "copies", "alike", "row", "part", "at", "before", "copy"))
+    taken = _mixed(docs, key, text, source).where("taken > 0 or size > 0")
+    groups = taken.groupBy(F.col("doc_id").alias(k), F.col("source").alias(src), F.col("size").alias(size)).agg(F.sum(F.col("taken") / F.col("size")).cast("long").alias(n), F.count("*").alias(m)).where(F.col(n) > 0)
+    sized = docs.withColumns({k: F.col(key).cast("long"), src: F.col(source).cast("string"), size: word_count(F.col(text))}).alias("d")
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"g.{c}")) for c in (k, src, size)]
+    met = sized.join(groups.alias("g"), same[0] & same[1] & same[2]).select("d.*", n, m)
+    even = F.col(n) % F.col(m) == 0
+    each = met.where(even).withColumn(copy, F.floor(F.col(n) / F.col(m)))
+    # rows of the other groups are numbered: by their place in a part, after those of the parts before it
+    odd = written(met.where(~even).withColumn(row, F.monotonically_increasing_id()), "mix-alike").withColumn(part, F.shiftright(row, 33))
+    by = [k, src, size]
+    counts = odd.groupBy(*by, part).agg(F.count("*").alias(at))
+    counts = counts.withColumn(before, F.coalesce(F.sum(at).over(Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop(at)
+    odd = odd.withColumn(at, F.row_number().over(Window.partitionBy(*by, part).orderBy(row))).alias("d")
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"g.{c}")) for c in (*by, part)]
+    odd = odd.join(counts.alias("g"), same[0] & same[1] & same[2] & same[3]).select("d.*", before)
+    odd = odd.withColumn(copy, F.floor(F.col(n) / F.col(m)) + (F.col(before) + F.col(at) <= F.col(n) % F.col(m)).cast("long"))
+    one = [F.col(c) for c in docs.columns]
+    out = each.select(*one, copy).unionAll(odd.select(*one, copy)).where(F.col(copy) > 0)
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy).cast("int")))).select(*docs.columns)
 
 
 ORACLE = """

@@ -150,6 +150,32 @@ def test_mix_of_odd_inputs(spark):
     assert mix.columns == docs(spark).columns and mix.count() > 0
 
 
+def test_mix_emits_the_words_taken_of_repeated_rows(spark):
+    r = random.Random(8)
+    rows = [(r.choice([1, 1, 1, 2, 3, None]), " ".join(["w"] * r.choice([10, 10, 20])), r.choice(["a", "b", "b", None])) for _ in range(400)]
+    rows += [(k, "some words of a rare source", "c") for k in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want, got = Counter(), Counter()
+    for x in source_mixing._mixed(df, "doc_id", "text", "source").collect():
+        want[x["doc_id"], x["source"], x["size"]] += x["taken"]
+    for x in source_mixing.repeated(df.repartition(5)).collect():
+        got[x["doc_id"], x["source"], len(x["text"].split())] += len(x["text"].split())
+    assert got == +want
+
+
+def test_mix_of_many_sources(spark):
+    r = random.Random(9)
+    rows = [(k, " ".join(["w"] * r.randrange(0, 30)), f"s{r.randrange(150)}") for k in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    want = brute_targets({s: sizes[s] for s in sorted(sizes)})
+    totals = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {x["source"]: x["target"] for x in source_mixing.targets(totals.repartition(7)).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[s], want[s], rel_tol=1e-9) for s in want)
+
+
 # 3
 
 
@@ -279,7 +305,7 @@ CASES = [
 
 def test_pseudonyms_keep_formats_and_links(spark):
     rows = docs(spark, [c for c, _ in CASES] * 2).where("doc_id is not null")
-    out = {r["doc_id"]: r["text"] for r in pii_pseudonyms.report(rows).collect()}
+    out = {r["doc_id"]: r["text"] for r in pii_pseudonyms.report(rows, "k").collect()}
     for k, (text, pattern) in enumerate(CASES):
         got = re.fullmatch(pattern, out[k])
         assert got, out[k]
@@ -307,12 +333,12 @@ def test_pseudonyms_are_permutations(spark):
 
 def test_pseudonyms_of_odd_inputs(spark):
     df = docs(spark)
-    out = pii_pseudonyms.pseudonymised(df)
+    out = pii_pseudonyms.pseudonymised(df, "k")
     assert out.columns == df.columns
     got = {r["doc_id"]: r["text"] for r in out.collect()}
     assert all(got[k] == TEXTS[k] for k in range(9)) and got[9] != TEXTS[9]
-    assert pii_pseudonyms.report(nothing(spark)).count() == 0
-    plan = pii_pseudonyms.report(df)._jdf.queryExecution().toString()
+    assert pii_pseudonyms.report(nothing(spark), "k").count() == 0
+    plan = pii_pseudonyms.report(df, "k")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
@@ -348,8 +374,8 @@ def test_secret_spans(spark):
 def test_automaton_learns_a_format():
     r = random.Random(5)
     values = ["k" + "".join(r.choice("01") for _ in range(r.randrange(2, 12))) + "z" for _ in range(800)]
-    a = automata.Automaton(values)
-    assert len(a.kept) <= 6
+    a = automata.Automaton(values, "k01z")
+    assert len(a.kept) <= 14  # lengths that are all as likely need a state for each position
     assert a.log_likelihood("k0101z") > a.log_likelihood("0101z") + 5 and a.log_likelihood("k0101z") > a.log_likelihood("k0101") + 5
 
 
