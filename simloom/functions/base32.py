@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import re
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +16,18 @@ def encode(data: bytes) -> str:
     return base64.b32hexencode(data).decode().rstrip("=").lower()
 
 
+_SYMBOLS = np.frombuffer(b"0123456789abcdefghijklmnopqrstuv", np.uint8)
+
+
+def encode_rows(data: np.ndarray) -> list[str]:
+    """Texts of many byte strings of one length; rows of ``data``."""
+    bits = np.unpackbits(data, axis=1)
+    bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 5)))
+    codes = np.packbits(bits.reshape(len(bits), -1, 5), axis=2)[:, :, 0] >> 3
+    width = codes.shape[1]
+    return np.ascontiguousarray(_SYMBOLS[codes]).view(f"S{width}").ravel().astype(f"U{width}").tolist() if width else [""] * len(data)
+
+
 def decode(text: str) -> bytes | None:
     """None for other characters, impossible lengths or bits beyond the last byte."""
     if not ALPHABET.match(text) or len(text) % 8 in (1, 3, 6):

@@ -8,10 +8,9 @@ Hashes are longs of the same bits.
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,69 +36,100 @@ def features(text: str) -> list[str]:
     return [text[i : i + 3] for i in range(len(text) - 2)] + _WORD.findall(text)
 
 
-def _window_hashes(text: str) -> np.ndarray:
-    """FNV-1a of all windows of three characters at once: their bytes step by step."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+#: Characters of the texts that are hashed together.
+_TOGETHER = 250_000
+
+
+def _fnv_of(codes: np.ndarray) -> np.ndarray:
+    """FNV-1a of the UTF-8 bytes of rows of code points, all rows at once, byte by byte."""
     size = 1 + (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF)
-    h = np.full(len(codes) - 2, FNV_START, np.uint64)
-    prime = np.uint64(FNV_PRIME)
-    for k in range(3):
-        c, n = codes[k : len(codes) - 2 + k], size[k : len(codes) - 2 + k]
-        for byte in range(int(n.max())):
-            lead = byte == 0
+    marks = np.array([0, 0, 0xC0, 0xE0, 0xF0], np.uint64)
+    h = np.full(len(codes), FNV_START, np.uint64)
+    for k in range(codes.shape[1]):
+        c, n = codes[:, k].astype(np.uint64), size[:, k]
+        for byte in range(int(n.max(initial=0))):
             shift = ((n - 1 - byte) * 6).clip(0).astype(np.uint64)
-            marks = np.array([0, 0, 0xC0, 0xE0, 0xF0], np.uint64)[n] if lead else np.uint64(0x80)
-            value = np.where(n == 1, c, marks | (c >> shift if lead else (c >> shift) & np.uint64(0x3F)))
-            h = np.where(n > byte, (h ^ value) * prime, h)
+            part = c >> shift
+            value = np.where(n == 1, c, marks[n] | part) if byte == 0 else np.uint64(0x80) | (part & np.uint64(0x3F))
+            h = np.where(n > byte, (h ^ value) * np.uint64(FNV_PRIME), h)
     return h
 
 
-def simhash_text(text: str, memo: dict[str, int] | None = None) -> int:
-    """The hash as an unsigned integer; 0 of an empty text."""
-    if not text:
-        return 0
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    """A row of 64 bits of each hash, the highest first."""
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+
+
+def _sums(table: np.ndarray, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of the rows ``at`` of ``table``, of runs of ``counts`` rows."""
+    out = np.zeros((len(counts), table.shape[1]), np.int64)
+    some = np.flatnonzero(counts)
+    if len(some):
+        starts = (np.cumsum(counts) - counts)[some]
+        out[some] = np.add.reduceat(table[at], starts, axis=0, dtype=np.int64)
+    return out
+
+
+def _hash_together(texts: list[str], memo: dict[str, int]) -> np.ndarray:
+    """Hashes of small texts of three characters or more."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    keys = codes[:-2] | codes[1:-1] << np.uint64(21) | codes[2:] << np.uint64(42)
+    inside = np.ones(len(codes), bool)
+    ends = np.cumsum(sizes)
+    inside[ends - 1] = inside[ends - 2] = False  # a window begins at all but the last two characters of a text
+    distinct, at = np.unique(keys[inside[:-2]], return_inverse=True)
+    windows = np.stack([distinct >> np.uint64(21 * k) & np.uint64(0x1FFFFF) for k in range(3)], axis=1)
+    votes = _sums(_bits(_fnv_of(windows)), at, sizes - 2)
+    words = [_WORD.findall(t) for t in texts]
+    for w in {w for each in words for w in each}.difference(memo):
+        memo[w] = fnv1a(w)
+    n_words = np.fromiter(map(len, words), np.int64, len(words))
+    every = np.fromiter((memo[w] for each in words for w in each), np.uint64, int(n_words.sum()))
+    votes += _sums(_bits(every), np.arange(len(every)), n_words)
+    return np.packbits(2 * votes > (sizes - 2 + n_words)[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+
+
+def simhash_texts(texts: list[str], memo: dict[str, int] | None = None) -> np.ndarray:
+    """Hashes of texts as unsigned integers; 0 of an empty text."""
     memo = {} if memo is None else memo
-    text = _lower(text)
-    if len(text) > 64:
-        counts = Counter(_WORD.findall(text))
-        for f in counts:
-            if f not in memo:
-                memo[f] = fnv1a(f)
-        words = np.array([memo[f] for f in counts], np.uint64)
-        weights = np.fromiter(counts.values(), np.int64, len(counts))
-        bits = lambda h: np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        windows = _window_hashes(text)
-        set_in = bits(windows).sum(axis=0, dtype=np.int64) + weights @ bits(words).astype(np.int64)
-        return int.from_bytes(np.packbits(2 * set_in > len(windows) + weights.sum()).tobytes(), "big")
-    counts = Counter(features(text))
-    for f in counts:
-        if f not in memo:
-            memo[f] = fnv1a(f)
-    hashes = np.array([memo[f] for f in counts], np.uint64)
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    weights = np.fromiter(counts.values(), np.int64, len(counts))
-    votes = 2 * (weights @ bits.astype(np.int64)) - weights.sum()
-    return int.from_bytes(np.packbits(votes > 0).tobytes(), "big")
-
-
-def _lower(text: str) -> str:
-    return text.lower()
+    out = np.zeros(len(texts), np.uint64)
+    low = [t.lower() for t in texts]
+    group: list[int] = []
+    room = _TOGETHER
+    for k, t in enumerate(low):
+        if len(t) < 3:
+            votes = 2 * _bits(np.array([fnv1a(c) for c in t], np.uint64)).sum(axis=0, dtype=np.int64) - len(t)
+            out[k] = int.from_bytes(np.packbits(votes > 0).tobytes(), "big") if t else 0
+            continue
+        if group and len(t) > room:
+            out[group] = _hash_together([low[i] for i in group], memo)
+            group, room = [], _TOGETHER
+            if len(memo) > _MEMO:
+                memo.clear()
+        group.append(k)
+        room -= len(t)
+    if group:
+        out[group] = _hash_together([low[i] for i in group], memo)
+    return out
+
+
+def simhash_text(text: str) -> int:
+    """The hash as an unsigned integer; 0 of an empty text."""
+    return int(simhash_texts([text])[0])
 
 
 def simhash(text: Column | str) -> Column:
     """SimHash of a text column as a long."""
 
-    def run(s: pd.Series) -> pd.Series:
+    def run(a: pa.Array) -> pa.Array:
         memo: dict[str, int] = {}
-        out = []
-        for t in s:
-            if len(memo) > _MEMO:
-                memo.clear()
-            h = None if t is None else simhash_text(t, memo)
-            out.append(None if h is None else h - (1 << 64) if h >> 63 else h)
-        return pd.Series(out, dtype="Int64")
+        known = a.is_valid().to_numpy(zero_copy_only=False)
+        out = np.zeros(len(a), np.int64)
+        out[known] = simhash_texts(a.filter(pa.array(known)).to_pylist(), memo).view(np.int64)
+        return pa.array(out, mask=~known)
 
-    return F.pandas_udf(run, "long")(text)
+    return F.arrow_udf(run, "long")(text)
 
 
 def simhash_distance(a: Column | str, b: Column | str) -> Column:

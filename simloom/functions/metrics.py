@@ -127,4 +127,6 @@ def may_reach(metric: str, a: Column | str, b: Column | str, score: float) -> Co
     return F.lit(True)
 
 
+#: Metrics in built-in expressions.
+BUILT_IN = frozenset({"levenshtein", "normalized_levenshtein", "normalized_hamming"})
 METRICS = {"levenshtein": normalized_levenshtein, "normalized_levenshtein": normalized_levenshtein, "jaro": jaro, "jaro_winkler": jaro_winkler, "best_match": best_match, "normalized_osa": normalized_osa, "normalized_hamming": normalized_hamming}

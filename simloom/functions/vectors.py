@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,6 +88,36 @@ def morton_id(v: Column | str, dims: int = 10, bits: int = 10) -> Column:
 # kernels over vectors of any size
 
 
+def _rows(column: pa.Array, check: bool, strict: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Vectors of an Arrow column by size: positions and a matrix; null and, with ``check``, bad ones are left out."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    offsets = column.offsets.to_numpy()
+    sizes = np.diff(offsets)
+    good = np.ones(len(column), bool) if not column.null_count else ~column.is_null().to_numpy(zero_copy_only=False)
+    values = column.values.cast(pa.float32()).to_numpy(zero_copy_only=False)  # null components become NaN
+    if check:
+        odd = np.concatenate([[0], np.cumsum(~np.isfinite(values))])
+        fits = (sizes >= MIN_DIMS) & (sizes <= MAX_DIMS)
+        finite = odd[offsets[1:]] == odd[offsets[:-1]]
+        if strict and not (fits & finite)[good].all():
+            raise ValueError("a vector of wrong size" if not fits[good].all() else "a component that isn't finite")
+        good &= fits & finite
+    out = []
+    for size in np.unique(sizes[good]).tolist():
+        at = np.flatnonzero(good & (sizes == size))
+        out.append((at, values[offsets[at][:, None] + np.arange(size)]))
+    return out
+
+
+def _texts(column: pa.Array, work: Callable[[np.ndarray], np.ndarray], strict: bool = False) -> pa.Array:
+    """Base32 of the bytes that ``work`` makes of vectors of one size."""
+    out = np.full(len(column), None, object)
+    for at, m in _rows(column, True, strict):
+        out[at] = base32.encode_rows(work(m))
+    return pa.array(out, pa.string())
+
+
 def _by_size(vectors: pd.Series, work: Callable[[np.ndarray], list], check: bool, strict: bool) -> list:
     out: list = [None] * len(vectors)
     groups: dict[int, list[int]] = {}
@@ -114,6 +145,15 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return np.where(length[:, None] > 0, v / np.where(length > 0, length, 1)[:, None], v).astype(np.float32)
 
 
+def _unit_start(v: np.ndarray, dims: int) -> np.ndarray:
+    """The first components of ``_unit``."""
+    total = np.zeros(len(v), np.float32)
+    for j in range(v.shape[1]):
+        total += v[:, j] * v[:, j]
+    length = np.sqrt(total)
+    return (v[:, :dims] / np.where(length > 0, length, 1)[:, None]).astype(np.float32)
+
+
 def hash_bytes(v: np.ndarray, seed: int = SEED_HASH) -> np.ndarray:
     """16 bytes each; bit i, from the lowest, is the sign of projection i."""
     positive = rng.sequential_dot(v, rng.hyperplanes(seed, v.shape[1])) > 0
@@ -124,14 +164,22 @@ def id_bytes(v: np.ndarray, profile: Profile) -> list[bytes]:
     """Header and payload of each vector."""
     if isinstance(profile, FullProfile):
         return codec.encoded(v, profile)
-    unit, head = _unit(v), profile.header(v.shape[1])
+    return [r.tobytes() for r in _id_rows(v, profile)]
+
+
+def _id_rows(v: np.ndarray, profile: Profile) -> np.ndarray:
+    """Rows of bytes: header and payload; all IDs of a profile and size are equally long."""
+    if isinstance(profile, FullProfile):
+        found = codec.encoded(v, profile)
+        return np.frombuffer(b"".join(found), np.uint8).reshape(len(found), -1)
+    head = profile.header(v.shape[1])
     if isinstance(profile, HashProfile):
-        data = hash_bytes(unit, profile.seed)
+        data = hash_bytes(_unit(v), profile.seed)
     else:
-        points = curves.quantised(unit, profile.dims, profile.bits_per_dim)
+        points = curves.quantised(_unit_start(v, profile.dims), profile.dims, profile.bits_per_dim)
         make = curves.morton_bits if isinstance(profile, MortonProfile) else curves.hilbert_bits
         data = curves.to_bytes(make(points, profile.bits_per_dim))
-    return [head + r.tobytes() for r in data]
+    return np.concatenate([np.broadcast_to(np.frombuffer(head, np.uint8), (len(v), len(head))), data], axis=1)
 
 
 def encode_id(v: Column | str, profile: Profile | None = None, strict: bool = False) -> Column:
@@ -140,10 +188,10 @@ def encode_id(v: Column | str, profile: Profile | None = None, strict: bool = Fa
     if isinstance(profile, HashProfile):
         rng.hyperplanes(profile.seed, MIN_DIMS)
 
-    def run(s: pd.Series) -> pd.Series:
-        return pd.Series(_by_size(s, lambda m: [base32.encode(x) for x in id_bytes(m, profile)], True, strict), dtype="object")
+    def run(a: pa.Array) -> pa.Array:
+        return _texts(a, lambda m: _id_rows(m, profile), strict)
 
-    return F.pandas_udf(run, "string")(as_floats(v))
+    return F.arrow_udf(run, "string")(as_floats(v))
 
 
 def decode_id(text: Column | str) -> Column:
@@ -194,12 +242,14 @@ def profile_prefix(profile: Profile) -> str:
 def vector_hash(v: Column | str, seed: int = SEED_HASH, checked: bool = False, unit: bool = False) -> Column:
     """struct(hi, lo) of the hash of the vector as it is, any size."""
 
-    def run(s: pd.Series) -> pd.DataFrame:
-        found = _by_size(s, lambda m: list(hash_bytes(_unit(m) if unit else m, seed)), checked, False)
-        words = [(None, None) if x is None else tuple(np.frombuffer(x.tobytes(), ">i8").tolist()) for x in found]
-        return pd.DataFrame(words, columns=["hi", "lo"]).astype("Int64")
+    def run(a: pa.Array) -> pa.Array:
+        words, none = np.zeros((len(a), 2), np.int64), np.ones(len(a), bool)
+        for at, m in _rows(a, checked, False):
+            found = np.ascontiguousarray(hash_bytes(_unit(m) if unit else m, seed))
+            words[at], none[at] = found.view(">i8"), False
+        return pa.StructArray.from_arrays([pa.array(words[:, k].copy(), mask=none) for k in (0, 1)], ["hi", "lo"])
 
-    return F.pandas_udf(run, "hi long, lo long")(as_floats(v))
+    return F.arrow_udf(run, "hi long, lo long")(as_floats(v))
 
 
 def hash_of_id(text: Column | str) -> Column:

@@ -1,12 +1,15 @@
 """Joins of similar rows that don't compare all pairs.
 
-Every join has an equality to go by: parts of a hash of which one must agree
-(pigeonhole), bands of a vector hash, or windows of characters that strings
-within an edit distance must share.
+Every join has an equality to go by: parts of a hash of which one must nearly
+agree (pigeonhole), bands of a vector hash, or what deletions, windows and
+characters strings must share to be within a distance or score.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,28 +18,67 @@ from simloom.functions.fingerprint import simhash
 from simloom.functions.vectors import hash_distance
 
 
-def _blocks(h: Column, most: int, bits: int = 64) -> Column:
-    """The hash's parts, one more than bits may differ: struct(part, value)."""
-    n, out, start = most + 1, [], 0
-    for k in range(n):
-        width = bits // n + (k < bits % n)
-        mask = ((1 << width) - 1) << start
-        mask = mask - (1 << 64) if mask >> 63 else mask
-        out.append(F.struct(F.lit(k).alias("part"), h.bitwiseAND(F.lit(mask).cast("long")).alias("value")))
-        start += width
-    return F.array(*out)
+#: Rows that hash joins are laid out for, and a probe's cost in candidates; the layout never changes what is found.
+EXPECTED_ROWS, PROBE_COST, MOST_PROBES = 1_000_000, 4.0, 2000
+#: Salts that keep rows of one frequent hash apart.
+SALTS = 16
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
 
+def hash_layout(most: int, rows: int = EXPECTED_ROWS, bits: int = 64) -> list[tuple[list[int], int]]:
+    """Parts of a hash, as lists of bits, and how many bits may differ in each.
 
-def similar_hashes(left: DataFrame, right: DataFrame | None, key: str, hash_column: str = "hash", most: int = 6) -> DataFrame:
+    Parts' bits plus one sum up to ``most`` + 1, so of hashes within ``most``
+    bits one part is within its own bound (pigeonhole).  Of all numbers of parts
+    the one with the least probes and expected candidates is taken.
+    """
+    best = None
+    for n in range(1, most + 2):
+        widths = [bits // n + (k < bits % n) for k in range(n)]
+        bounds = [(most + 1) // n - 1 + (k < (most + 1) % n) for k in range(n)]
+        probes = [sum(math.comb(w, d) for d in range(min(w, t) + 1)) for w, t in zip(widths, bounds, strict=True)]
+        cost = PROBE_COST * sum(probes) + rows * sum(p / 2.0**w for p, w in zip(probes, widths, strict=True))
+        if sum(probes) <= MOST_PROBES and (best is None or cost < best[0]):
+            best = cost, widths, bounds
+    if best is None:  # too many bits to probe; parts of their own must agree
+        n = min(most + 1, bits)
+        best = 0.0, [bits // n + (k < bits % n) for k in range(n)], [0] * n
+    out, start = [], 0
+    for w, t in zip(best[1], best[2], strict=True):
+        out.append((list(range(start, start + w)), t))
+        start += w
+    return out
+
+
+def _changed(part: int, own: Column):
+    return lambda flip: F.struct(F.lit(part).alias("part"), own.bitwiseXOR(flip).alias("value"))
+
+
+def _parts(h: Column, layout: list[tuple[list[int], int]], probe: bool) -> Column:
+    """struct(part, value) of each part of a hash, if asked with all changes that its bound allows."""
+    out = []
+    for k, (places, bound) in enumerate(layout):
+        own = h.bitwiseAND(F.lit(_signed(sum(1 << b for b in places))).cast("long"))
+        flips = [0] if not probe else [_signed(sum(1 << b for b in some)) for d in range(bound + 1) for some in itertools.combinations(places, d)]
+        out.append(F.transform(F.array(*[F.lit(f).cast("long") for f in flips]), _changed(k, own)))
+    return F.flatten(F.array(*out))
+
+
+def similar_hashes(left: DataFrame, right: DataFrame | None, key: str, hash_column: str = "hash", most: int = 6, rows: int = EXPECTED_ROWS) -> DataFrame:
     """key_a, key_b, distance of rows whose hashes differ in at most that many bits.
 
-    Without ``right`` pairs are of one table, smaller key first.  Exact.
+    Without ``right`` pairs are of one table, smaller key first.  Exact; ``rows``
+    only sets how hashes are cut.
     """
     if not 0 <= most < 64:
         raise ValueError("0 to 63 bits")
+    layout = hash_layout(most, rows)
 
     def side(df: DataFrame, s: str) -> DataFrame:
-        return df.where(F.col(hash_column).isNotNull()).select(F.col(key).alias(f"key_{s}"), F.col(hash_column).alias(f"hash_{s}"), F.explode(_blocks(F.col(hash_column), most)).alias("block"))
+        return df.where(F.col(hash_column).isNotNull()).select(F.col(key).alias(f"key_{s}"), F.col(hash_column).alias(f"hash_{s}"), F.explode(_parts(F.col(hash_column), layout, s == "b")).alias("block"))
 
     a, b = side(left, "a"), side(left if right is None else right, "b")
     met = a.join(b, "block")
@@ -46,17 +88,34 @@ def similar_hashes(left: DataFrame, right: DataFrame | None, key: str, hash_colu
     return met.select("key_a", "key_b", "distance").distinct()
 
 
+def _hashed_once(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key`` and hash.  Both sides of a later self-join read this one exchange, so texts are hashed once."""
+    hashed = df.select(F.col(key), simhash(F.coalesce(F.col(text), F.lit(""))).alias("hash"))
+    return hashed.repartition("hash", F.pmod(F.xxhash64(key), F.lit(SALTS)))
+
+
 def near_duplicate_texts(df: DataFrame, key: str, text: str, above: float = 0.9) -> DataFrame:
-    """Pairs of texts whose SimHash similarity is over ``above``: classes of equal hashes pair by their first keys."""
+    """Of each text its class of equal SimHashes (``class_id``, the first key of
+    it, and ``class_size``) and ``n_links``, how many other classes are over
+    ``above`` similar.  ``similar_classes`` gives the links."""
+    classes = hash_classes(df, key, text)
+    links = _class_links(classes, key, above).select(F.explode(F.array("key_a", "key_b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    return classes.join(links, "class_id", "left").select(key, "class_id", "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def similar_classes(df: DataFrame, key: str, text: str, above: float = 0.9) -> DataFrame:
+    """key_a, key_b, distance of classes of equal SimHashes that are over ``above`` similar, by their first keys."""
+    return _class_links(hash_classes(df, key, text), key, above)
+
+
+def _class_links(classes: DataFrame, key: str, above: float) -> DataFrame:
     most = next((d for d in range(63, -1, -1) if 1 - d / 64 > above), None)
-    hashed = df.select(F.col(key), simhash(F.coalesce(F.col(text), F.lit(""))).alias("hash"))
-    classes = hashed.groupBy("hash").agg(F.min(key).alias(key), F.count("*").alias("n"))
-    return similar_hashes(classes, None, key, "hash", most if most is not None else 0)
+    return similar_hashes(classes.where(F.col(key) == F.col("class_id")).dropDuplicates(["class_id"]), None, "class_id", "hash", most if most is not None else 0)
 
 
 def hash_classes(df: DataFrame, key: str, text: str) -> DataFrame:
     """Each row's hash and the first key of all with that hash."""
-    hashed = df.select(F.col(key), simhash(F.coalesce(F.col(text), F.lit(""))).alias("hash"))
+    hashed = _hashed_once(df, key, text)
     classes = hashed.groupBy("hash").agg(F.min(key).alias("class_id"), F.count("*").alias("class_size"))
     return hashed.join(classes, "hash").select(key, "hash", "class_id", "class_size")
 
@@ -76,14 +135,22 @@ def _shortened(s: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substr(s, F.lit(1), i - 1), F.substr(s, i + 1)))
 
 
-def _by_deletion(values: DataFrame, most: int) -> DataFrame:
-    """Candidate pairs: strings within ``most`` edits have a string in common that each
-    becomes by at most as many deletions, so no frequent part brings many together."""
-    forms = F.array(F.col("value"))
+def deletion_forms(s: Column, most: int) -> Column:
+    """All that up to ``most`` deletions make of a string.
+
+    Strings within ``most`` edits have one in common, so no frequent part
+    brings many together.
+    """
+    forms = F.array(s)
     for _ in range(most):
-        longer = F.flatten(F.transform(forms, lambda s: F.when(F.length(s) > 0, _shortened(s)).otherwise(F.array(s))))
+        longer = F.flatten(F.transform(forms, lambda x: F.when(F.length(x) > 0, _shortened(x)).otherwise(F.array(x))))
         forms = F.array_distinct(F.concat(forms, longer))
-    cut = values.select("value", F.explode(forms).alias("form"))
+    return forms
+
+
+def _by_deletion(values: DataFrame, most: int) -> DataFrame:
+    """Candidate pairs by forms, which are known by their hashes."""
+    cut = values.select("value", F.explode(F.array_distinct(F.transform(deletion_forms(F.col("value"), most), lambda x: F.xxhash64(x)))).alias("form"))
     a, b = (cut.select(F.col("value").alias(f"value_{s}"), "form") for s in "ab")
     return a.join(b, "form").where((F.col("value_a") < F.col("value_b")) & (F.abs(F.length("value_a") - F.length("value_b")) <= most)).select("value_a", "value_b").distinct()
 
@@ -118,17 +185,64 @@ def _by_parts(values: DataFrame, most: int) -> DataFrame:
     return cut.join(probes, ["size", "part", "piece"]).where("value_a <> value_b").select(F.least("value_a", "value_b").alias("value_a"), F.greatest("value_a", "value_b").alias("value_b")).distinct()
 
 
-def similar_names(df: DataFrame, column: str, above: float = 0.85, block: Column | None = None) -> DataFrame:
+#: Strings over this length pair by length alone.
+_LONGEST_NAME = 64
+#: Letters from the rarer to the more frequent in European languages; any order gives the same pairs.
+_RARER_FIRST = "qxjzkwvyfgbphmculdrstinoae"
+
+
+def _marked_characters(value: Column) -> Column:
+    """A string's characters, each with how many of it came before, the rarer first."""
+    chars = F.split(value, "")
+    nth = F.transform(chars, lambda c, i: F.struct((F.instr(F.lit(_RARER_FIRST), F.lower(c)) - F.size(F.filter(F.slice(chars, 1, i), lambda x: x == c)) * 32).alias("order"), c.alias("c"), F.size(F.filter(F.slice(chars, 1, i), lambda x: x == c)).alias("n")))
+    return F.transform(F.array_sort(nth), lambda x: F.concat(x["c"], x["n"].cast("string")))
+
+
+def _names_met(values: DataFrame, jaro: float, first: bool) -> DataFrame:
+    """Pairs that may have such a Jaro score; with ``first`` of those with equal first characters.
+
+    A score of j needs j <= (m / a + m / b + 1) / 3 of m common characters, so
+    it bounds the lengths a, b and m.  Both multisets of characters then share one
+    among the first ``length - m + 1`` in any common order.
+    """
+    need = 3 * jaro - 1  # m (1/a + 1/b) must reach it
+    marked = values.where(F.length("value") > 0).select("value", F.length("value").alias("own"), _marked_characters(F.col("value")).alias("marks"))
+    low, high = F.greatest(F.lit(1), F.ceil(F.col("own") * (need - 1) - 1e-9)), F.col("own") / F.lit(max(need - 1, 1e-9)) + 1e-9
+
+    def side(s: str) -> DataFrame:
+        # the shorter string is on side a; lengths of partners
+        longest = F.least(F.floor(high), F.lit(_LONGEST_NAME)) if s == "a" else F.col("own")
+        shortest = F.col("own") if s == "a" else low
+        each = marked.withColumn("other", F.explode(F.when(longest >= shortest, F.sequence(shortest.cast("int"), longest.cast("int"))).otherwise(F.array().cast("array<int>"))))
+        common = F.ceil(need * F.col("own") * F.col("other") / (F.col("own") + F.col("other")) - 1e-9)
+        keep = F.col("own") - F.greatest(F.lit(1), common) + 1
+        a, b = ("own", "other") if s == "a" else ("other", "own")
+        return each.where(keep > 0).select(F.col("value").alias(f"value_{s}"), F.col(a).alias("size_a"), F.col(b).alias("size_b"), (F.substring("value", 1, 1) if first else F.lit("")).alias("start"), F.explode(F.slice("marks", 1, keep.cast("int"))).alias("mark"))
+
+    met = side("a").join(side("b"), ["size_a", "size_b", "start", "mark"]).where(F.col("value_a") != F.col("value_b"))
+    return met.select(F.least("value_a", "value_b").alias("value_a"), F.greatest("value_a", "value_b").alias("value_b")).distinct()
+
+
+def similar_names(df: DataFrame, column: str, above: float = 0.85) -> DataFrame:
     """Pairs of distinct strings whose Jaro-Winkler score is over ``above``.
 
-    Strings pair within a block, by default those of equal first character, and
-    only where their lengths allow the score.
+    Exact.  The bonus for common first characters is at most 0.4 of what a Jaro
+    score lacks, and nothing where the first characters differ; either case has
+    its bound on the Jaro score, and with it on what strings must share.
     """
-    key = F.substring(F.col(column), 1, 1) if block is None else block
-    values = df.select(F.col(column).alias("value"), key.alias("block")).where(F.col("value").isNotNull()).distinct()
-    a, b = (values.select(F.col("value").alias(f"value_{s}"), "block") for s in "ab")
-    met = a.join(b, "block").where((F.col("value_a") < F.col("value_b")) & metrics.may_reach("jaro_winkler", "value_a", "value_b", above))
-    met = met.select("value_a", "value_b").distinct().withColumn("score", metrics.jaro_winkler("value_a", "value_b"))
+    if not 0.81 <= above < 1:
+        raise ValueError("a score from 0.81 to 1; below, lengths bound nothing")
+    values = df.select(F.col(column).alias("value")).where(F.col("value").isNotNull()).distinct()
+    short = values.where(F.length("value") <= _LONGEST_NAME)
+    same = (above - 0.4) / 0.6
+    met = _names_met(short, same, True).unionAll(_names_met(short, above, False))
+    long = values.select(F.col("value").alias("value_a"), F.length("value").alias("size")).where(F.col("size") > _LONGEST_NAME)
+    ratio = 3 * same - 2
+    wanted = F.sequence(F.greatest(F.lit(1), F.ceil(F.col("size") * ratio - 1e-9)).cast("int"), F.floor(F.col("size") / ratio + 1e-9).cast("int"))
+    other = values.select(F.col("value").alias("value_b"), F.length("value").alias("wanted"))
+    pairs = long.withColumn("wanted", F.explode(wanted)).join(other, "wanted").where(F.col("value_a") != F.col("value_b"))
+    met = met.unionAll(pairs.select(F.least("value_a", "value_b").alias("value_a"), F.greatest("value_a", "value_b").alias("value_b"))).distinct()
+    met = met.withColumn("score", metrics.jaro_winkler("value_a", "value_b"))
     return met.where(F.col("score") > above)
 
 

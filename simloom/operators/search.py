@@ -36,13 +36,16 @@ def scored(candidates: DataFrame, query: str, column: str, metric: str = "best_m
     """Candidates with their score against one literal query; ``least`` is inclusive."""
     prepare = F.lower if ignore_case else (lambda c: c)
     own, other = prepare(F.col(column)), F.lit(query.lower() if ignore_case else query)
-    some = candidates.select(own.alias("__value")).where(F.col("__value").isNotNull()).distinct()
+    candidates = candidates.withColumn("__value", own).where(F.col("__value").isNotNull())
     if least is not None:
-        some = some.where(metrics.may_reach(metric, F.col("__value"), other, least))
-    some = some.withColumn("score", _score(metric, other, F.col("__value")))
+        candidates = candidates.where(metrics.may_reach(metric, F.col("__value"), other, least))
+    if metric in metrics.BUILT_IN:  # cheaper than bringing equal values together
+        out = candidates.withColumn("score", _score(metric, other, F.col("__value"))).drop("__value")
+        return out if least is None else out.where(F.col("score") >= least)
+    some = candidates.select("__value").distinct().withColumn("score", _score(metric, other, F.col("__value")))
     if least is not None:
         some = some.where(F.col("score") >= least)
-    return candidates.withColumn("__value", own).join(some, "__value").drop("__value")
+    return candidates.join(some, "__value").drop("__value")
 
 
 def fuzzy_search(candidates: DataFrame, query: str, column: str, key: str, metric: str = "best_match", least: float = 0.5, limit: int | None = 10, ignore_case: bool = True) -> DataFrame:

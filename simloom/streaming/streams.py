@@ -5,10 +5,11 @@ All scalar functions are stateless, so they work on streams as they are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simloom.functions.fingerprint import simhash
+from simloom.operators.blocking import deletion_forms
 from simloom.operators.search import _score
 
 
@@ -17,14 +18,20 @@ def scored_stream(stream: DataFrame, query: str, column: str, metric: str = "bes
     return stream.withColumn("score", _score(metric, F.lit(query), F.col(column))).where(F.col("score") >= least)
 
 
-def matched_stream(stream: DataFrame, known: DataFrame, column: str, name: str, most: int = 2, on: Column | None = None) -> DataFrame:
-    """Each row of a stream with the rows of a static table within ``most`` edits of it.
+def matched_stream(stream: DataFrame, known: DataFrame, column: str, name: str, most: int = 2) -> DataFrame:
+    """Each row of a stream with the rows of a static table within ``most`` (0 to 2) edits of it.
 
-    Rows meet by ``on``, by default equal first characters, so the join has an
-    equality to go by.
+    Exact: rows meet by what deletions make of both.  A pair that meets by
+    several forms counts at the first of them, so nothing has to be remembered.
     """
-    meet = F.substring(stream[column], 1, 1) == F.substring(known[name], 1, 1) if on is None else on
-    return stream.join(known, meet).withColumn("distance", F.levenshtein(stream[column], known[name], most)).where("distance >= 0")
+    if not 0 <= most <= 2:
+        raise ValueError("0 to 2 edits")
+    taken = {c.lower() for c in (*stream.columns, *known.columns)}
+    a, b, form = (next(n + "_" * k for k in range(99) if n + "_" * k not in taken) for n in ("forms_a", "forms_b", "form"))
+    left = stream.withColumn(a, deletion_forms(F.col(column), most)).withColumn(form, F.explode(a))
+    right = known.withColumn(b, deletion_forms(F.col(name), most)).withColumn(form, F.explode(b))
+    met = left.join(right, form).where(F.col(form) == F.array_min(F.array_intersect(a, b)))
+    return met.withColumn("distance", F.levenshtein(stream[column], known[name], most)).where("distance >= 0").drop(a, b, form)
 
 
 def deduplicated_stream(stream: DataFrame, text: str, time: str, within: str = "10 minutes") -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from simloom.functions import fingerprint, metrics, register, vectors
+from simloom.functions import fingerprint, metrics, pairs, register, vectors
 from simloom.functions.embed import TextModel, crop_box, embed_image, embed_text, image_tensor, read_safetensors
 from simloom.functions.profiles import MortonProfile
 from simloom.operators import blocking, scan, search
@@ -98,6 +98,53 @@ def test_similar_names(spark):
     assert {(r["value_a"], r["value_b"]) for r in rows} == {("John Smith", "Jon Smith")}
 
 
+@pytest.mark.parametrize("above", [0.82, 0.85, 0.9, 0.95])
+def test_similar_names_are_those_of_all_pairs(spark, above):
+    r = random.Random(2)
+    values = ["", "a", "b", "ab", "é" * 70, "é" * 71 + "a", "xé" * 40]
+    for _ in range(60):
+        w = "".join(r.choice("abcdeé ") for _ in range(r.randrange(1, 14)))
+        values.append(w)
+        c = list(w)
+        c[r.randrange(len(c))] = r.choice("abcxyz")
+        values += ["".join(c), w[1:], w + r.choice("abc"), r.choice("xyz") + w]
+    values = sorted(set(values))
+    score = lambda a, b: pairs.prefix_bonus(pairs.jaro_scores([a], [b]), [a], [b], 0.1)[0]
+    want = {(a, b) for a, b in itertools.combinations(values, 2) if score(a, b) > above}
+    got = {(x["value_a"], x["value_b"]) for x in blocking.similar_names(names(spark, values), "name", above).collect()}
+    assert got == {tuple(sorted(p, key=lambda x: x.encode())) for p in want}
+
+
+def test_hash_layouts_cover_all_bits():
+    for most in (0, 1, 3, 6, 8, 12, 20, 40, 63):
+        layout = blocking.hash_layout(most)
+        assert sorted(b for places, _ in layout for b in places) == list(range(64))
+        assert sum(t + 1 for _, t in layout) >= most + 1
+
+
+def test_near_duplicate_texts_tell_class_and_links(spark):
+    df = names(spark, ["the quick brown fox jumps over it", "the quick brown fox jumps over it", "the quick brown fox jumps over it!", "something else", None, ""])
+    rows = {r["id"]: r for r in blocking.near_duplicate_texts(df, "id", "name", 0.8).collect()}
+    assert [rows[k]["class_id"] for k in range(6)] == [0, 0, 2, 3, 4, 4] and rows[1]["class_size"] == 2
+    assert [rows[k]["n_links"] for k in range(4)] == [1, 1, 1, 0]
+    links = blocking.similar_classes(df, "id", "name", 0.8).collect()
+    assert [(r["key_a"], r["key_b"]) for r in links] == [(0, 2)]
+
+
+@pytest.mark.parametrize("most", [0, 1, 2])
+def test_matched_stream_is_exact(spark, tmp_path, most):
+    values = words(40, most + 7)
+    names(spark, values).write.parquet(str(tmp_path / "in"))
+    known = spark.createDataFrame([(v,) for v in words(40, most + 8)], "k string")
+    stream = spark.readStream.schema("id int, name string").parquet(str(tmp_path / "in"))
+    q = streams.matched_stream(stream, known, "name", "k", most).writeStream.format("memory").queryName(f"m{most}").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    got = sorted((r["name"], r["k"], r["distance"]) for r in spark.table(f"m{most}").collect())
+    every = names(spark, values).join(known, F.levenshtein("name", "k") <= most).select("name", "k", F.levenshtein("name", "k").alias("d")).collect()
+    assert got == sorted(tuple(r) for r in every)
+
+
 def test_scans_are_pushed_down(spark, tmp_path):
     df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", vectors.encode_id("embedding", MortonProfile()).alias("id"))
     tables.write_by_id(df, str(tmp_path / "ids"), files=2)
