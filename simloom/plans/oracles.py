@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from simloom.functions import rng
-from simloom.functions.profiles import SEED_HASH
+from simloom.functions.profiles import QUANT8, SEED_COMMON, SEED_COMPRESSED, SEED_HASH, SEED_MAX_LENGTH, FullProfile, bits, compressed, cross_dimensional, lossless, max_length
 from simloom.plans.queries import WORDS
 
 N = "n AS (SELECT DISTINCT p_name FROM part WHERE p_name IS NOT NULL)"
@@ -75,6 +75,91 @@ BIT_TEXT = "bt AS (SELECT vec_id, string_agg(CASE WHEN bit THEN '1' ELSE '0' END
 DOTP = "list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
 
 
+#: Restricted Damerau distance: rows of the table one by one, each from the two above it.
+OSA = """list_reduce(list_transform(range(1, length({a}) + 1), lambda i: [[i]]), lambda acc, e: [acc[2], list_reduce(list_transform(range(1, length({b}) + 1), lambda j: [j]), lambda r, j: list_append(r, least(acc[2][j[1] + 1] + 1, r[j[1]] + 1, acc[2][j[1]] + (CASE WHEN substr({a}, e[1][1]::INTEGER, 1) = substr({b}, j[1]::INTEGER, 1) THEN 0 ELSE 1 END), CASE WHEN e[1][1] > 1 AND j[1] > 1 AND substr({a}, e[1][1]::INTEGER, 1) = substr({b}, j[1]::INTEGER - 1, 1) AND substr({a}, e[1][1]::INTEGER - 1, 1) = substr({b}, j[1]::INTEGER, 1) THEN acc[1][j[1] - 1] + 1 ELSE 1000000 END)), e[1])], [range(0, length({b}) + 1), range(0, length({b}) + 1)])[2][length({b}) + 1]::INTEGER"""
+#: UTF-8 bytes of a feature as numbers, FNV-1a of them, and the signed form of the hash.
+FNV_BYTES = """list_reduce(list_transform(range(0, length(hex(encode(f))) // 2), lambda i: ((strpos('0123456789ABCDEF', substr(hex(encode(f)), (2 * i + 1)::INTEGER, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(hex(encode(f)), (2 * i + 2)::INTEGER, 1)) - 1)::UHUGEINT), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT, 14695981039346656037::UHUGEINT)"""
+#: The characters of Unicode's White_Space property.
+BLANKS = "[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+
+
+def text_hashes(source: str, key: str) -> str:
+    """CTEs up to ``hk``: key and hash (signed) of texts of any characters; null texts as empty ones."""
+    votes = ", ".join(f"sum(CASE WHEN (h >> {k}) & 1 = 1 THEN n ELSE -n END) > 0 AS b{k}" for k in range(63)) + ", sum(CASE WHEN h < 0 THEN n ELSE -n END) > 0 AS b63"
+    value = " + ".join(f"CASE WHEN b{k} THEN {1 << k} ELSE 0 END" for k in range(63)) + " + CASE WHEN b63 THEN -9223372036854775808 ELSE 0 END"
+    return f"""
+    tk AS ({source}),
+    tt AS (SELECT DISTINCT lower(coalesce(text, '')) AS t FROM tk),
+    tf AS (SELECT t, unnest(CASE WHEN length(t) <= 2 THEN string_split(t, '') ELSE list_concat(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)), list_filter(string_split_regex(t, '{BLANKS}'), lambda w: w <> '')) END) AS f FROM tt),
+    tn AS (SELECT t, f, count(*) AS n FROM tf WHERE f <> '' GROUP BY t, f),
+    df AS (SELECT f, (CASE WHEN x >= 9223372036854775808::UHUGEINT THEN x::HUGEINT - 18446744073709551616::HUGEINT ELSE x::HUGEINT END)::BIGINT AS h FROM (SELECT f, {FNV_BYTES} AS x FROM (SELECT DISTINCT f FROM tn))),
+    tv AS (SELECT t, {votes} FROM tn JOIN df USING (f) GROUP BY t),
+    th AS (SELECT t, ({value})::BIGINT AS hash FROM tv),
+    hk AS (SELECT {key}, coalesce(hash, 0)::BIGINT AS hash FROM tk LEFT JOIN th ON lower(coalesce(text, '')) = t)"""
+
+
+#: Hilbert codes level by level: bits rotated and reflected, and what the next level turns by.
+HILBERT = f"""
+{{unit}},
+c AS (SELECT vec_id, list_transform(embedding[1:10], lambda x: {{coord}}) AS c FROM u),
+l AS (SELECT vec_id, list_transform(range(0, 10), lambda k: list_reduce(list_transform(range(1, 11), lambda d: ((c[d] >> (9 - k)) & 1) << (d - 1)), lambda s, x: s + x)) AS l FROM c),
+w AS (SELECT vec_id, k, l[k + 1] AS p FROM l, range(0, 10) r(k)),
+h AS (
+  WITH RECURSIVE z AS (
+    SELECT vec_id, -1::BIGINT AS k, 0::BIGINT AS rot, 0::BIGINT AS ref, 0::BIGINT AS placed FROM l
+    UNION ALL
+    SELECT vec_id, k, (rot + zeros) % 10 AS rot, CASE WHEN gray & 1 = 0 THEN xor(ref, 1::BIGINT << (zeros % 10)) ELSE ref END AS ref, placed FROM (
+      SELECT *, CASE WHEN gray = 0 THEN 32 ELSE bit_count(xor(gray, gray - 1)) - 1 END::BIGINT AS zeros FROM (
+        SELECT *, xor(placed, placed >> 1) AS gray FROM (
+          SELECT w.vec_id, w.k, z.rot, z.ref, xor(CASE WHEN z.rot = 0 THEN w.p ELSE ((w.p << (z.rot % 10)) | (w.p >> (10 - z.rot % 10))) & 1023 END, z.ref) AS placed
+          FROM z JOIN w ON w.vec_id = z.vec_id AND w.k = z.k + 1)))
+  )
+  SELECT * FROM z
+),
+hb AS (SELECT vec_id, '0000001100000000' || '0000' || string_agg(list_reduce(list_transform(range(0, 10), lambda d: ((placed >> d) & 1)::VARCHAR), lambda s, x: s || x), '' ORDER BY k) AS bits FROM h WHERE k >= 0 GROUP BY vec_id)"""
+#: Bits of a 32-bit float, a half-precision value, and eight bits of a number.
+F32 = "((CASE WHEN {x} < 0 OR {x}::VARCHAR = '-0.0' THEN 2147483648 ELSE 0 END) + (CASE WHEN {x} = 0 THEN 0 ELSE (greatest(floor(log2(abs({x}::DOUBLE))), -126)::BIGINT + 127) * 8388608 + ((abs({x}::DOUBLE) / pow(2.0, greatest(floor(log2(abs({x}::DOUBLE))), -126)) - 1) * 8388608)::BIGINT END))::BIGINT"
+HALF = "(CASE WHEN {x} = 0 THEN 0.0 ELSE round_even({x}::DOUBLE / pow(2.0, greatest(floor(log2(abs({x}::DOUBLE))), -14) - 10), 0) * pow(2.0, greatest(floor(log2(abs({x}::DOUBLE))), -14) - 10) END)::FLOAT"
+
+
+#: Bits of a half-precision value.
+HALF_BITS = "lpad(bin(((CASE WHEN {x} < 0 THEN 32768 ELSE 0 END) + (CASE WHEN {x} = 0 THEN 0 WHEN abs({x}::DOUBLE) < pow(2.0, -14) THEN (abs({x}::DOUBLE) * 16777216)::BIGINT ELSE (floor(log2(abs({x}::DOUBLE)))::BIGINT + 15) * 1024 + ((abs({x}::DOUBLE) / pow(2.0, floor(log2(abs({x}::DOUBLE)))) - 1) * 1024)::BIGINT END))::BIGINT), 16, '0')"
+TURNS = "SELECT conv_id || '-' || lpad(turn::VARCHAR, 6, '0') AS key, text FROM conversations"
+
+
+def float_bits(x: str) -> str:
+    return f"lpad(bin({F32.format(x=x)}), 32, '0')"
+
+
+def full_ids(values: str, head: bytes, payload: str) -> str:
+    """CTEs up to ``ids``: vec_id and the ID of a header and a payload of bits."""
+    start = "".join(f"{b:08b}" for b in head)
+    return f"""{values},
+    raw AS (SELECT vec_id, '{start}' || {payload} AS bits FROM v),
+    pad AS (SELECT vec_id, bits || repeat('0', ((5 - length(bits) % 5) % 5)::INTEGER) AS bits FROM raw),
+    ids AS (SELECT vec_id, {B32.format(bits='bits')} AS id FROM pad)"""
+
+
+def joined_bits(items: str, x: str = "x") -> str:
+    return f"list_reduce(list_transform({items}, lambda x: {x}), lambda s, x: s || x)"
+
+
+#: Range and integers of quantised values ``v`` of a row, step by step in floats.
+def quantised(source: str, bits: int) -> str:
+    most = (1 << bits) - 1
+    return f"""q0 AS (SELECT vec_id, e, list_min(e) AS lo, list_max(e) AS hi FROM ({source})),
+    v AS (SELECT vec_id, lo, hi, list_transform(e, lambda x: CASE WHEN hi = lo THEN {(1 << bits) // 2} ELSE least({most}, greatest(0, floor(((((x - lo)::FLOAT / (hi - lo)::FLOAT)::FLOAT * {most}::FLOAT)::FLOAT)::DOUBLE + 0.5)))::BIGINT END) AS q FROM q0)"""
+
+
+def projected(seed: int, source_dims: int, target: int, dims: int) -> str:
+    """CTE ``pr``: vec_id and ``e``, projected; sums of floats in order."""
+    rows = rng.projection(seed, source_dims, target)[:, :dims]
+    values = ", ".join(f"({k}, [{', '.join(f'{x:.9g}' for x in r.tolist())}]::FLOAT[])" for k, r in enumerate(rows))
+    return f"""pm AS (SELECT * FROM (VALUES {values}) t(k, r)),
+    pd AS (SELECT vec_id, k, list_reduce(list_transform(range(1, {dims + 1}), lambda i: (embedding[i] * r[i])::FLOAT), lambda s, x: (s + x)::FLOAT, 0::FLOAT) AS x FROM {{source}}, pm),
+    pr AS (SELECT vec_id, list(x ORDER BY k) AS e FROM pd GROUP BY vec_id)"""
+
+
 def _edit(source: str, most: int) -> str:
     return f"WITH v AS (SELECT DISTINCT value FROM ({source}) WHERE value IS NOT NULL) SELECT x.value AS value_a, y.value AS value_b, levenshtein(x.value, y.value)::INTEGER AS distance FROM v x JOIN v y ON x.value < y.value AND levenshtein(x.value, y.value) <= {most}"
 
@@ -101,7 +186,7 @@ ORACLES = {
     "edit_distance_join": _edit("SELECT p_name AS value FROM part", 2),
     "customer_name_join": _edit("SELECT regexp_replace(c_name, '^Customer', '') AS value FROM customer UNION ALL SELECT regexp_replace(s_name, '^Supplier', '') FROM supplier", 1),
     "url_similarity": _edit("SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS value FROM pages", 2),
-    "similar_names": f"WITH {P} SELECT a AS value_a, b AS value_b, round({jw('a', 'b')}, 9) AS score FROM p WHERE left(a, 1) = left(b, 1) AND {jw('a', 'b')} > 0.85",
+    "similar_names": f"WITH {P} SELECT a AS value_a, b AS value_b, round({jw('a', 'b')}, 9) AS score FROM p WHERE {jw('a', 'b')} > 0.85",
     "hash_pairs": f"WITH {N}, {hashes('n')} SELECT x.t AS key_a, y.t AS key_b, {_bits('x.hash', 'y.hash')}::INTEGER AS distance FROM hs x JOIN hs y ON x.t < y.t AND {_bits('x.hash', 'y.hash')} <= 12",
     "rows_without_partner": f"WITH {N} SELECT p_name FROM n WHERE NOT EXISTS (SELECT 1 FROM n m WHERE m.p_name <> n.p_name AND levenshtein(m.p_name, n.p_name) <= 1)",
     "rows_with_partner": f"WITH {N} SELECT p_name FROM n WHERE EXISTS (SELECT 1 FROM n m WHERE m.p_name <> n.p_name AND levenshtein(m.p_name, n.p_name) <= 1)",
@@ -120,14 +205,26 @@ ORACLES = {
     "shared_band_counts": f"WITH {_hash('embeddings')}, {BIT_TEXT}, w AS (SELECT vec_id, i, substr(bits, (8 * i + 1)::INTEGER, 8) AS b FROM bt, range(0, 16) r(i)), q AS (SELECT DISTINCT b FROM w WHERE vec_id = 0) SELECT w.vec_id, count(q.b)::INTEGER AS n_shared FROM w LEFT JOIN q ON w.b = q.b WHERE w.vec_id <> 0 GROUP BY w.vec_id",
     "nearest_labels": f"WITH {_hash('embeddings')}, q AS (SELECT hi AS qh, lo AS ql FROM vh WHERE vec_id = 0), d AS (SELECT e.label, vh.vec_id, ({_bits('hi', 'qh')} + {_bits('lo', 'ql')})::INTEGER AS distance FROM vh JOIN embeddings e ON e.vec_id = vh.vec_id, q WHERE vh.vec_id <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id)::INTEGER AS rank FROM d) SELECT label, rank, vec_id, distance FROM r WHERE rank <= 3",
     "curve_round_trip": f"WITH c AS (SELECT vec_id, list_transform(embedding[1:10], lambda x: {COORD}) AS c FROM embeddings), b AS (SELECT vec_id, '0000' || list_reduce(list_transform(range(0, 100), lambda i: ((c[10 - i % 10] >> (9 - i // 10)) & 1)::VARCHAR), lambda s, x: s || x) AS bits FROM c) SELECT vec_id, list_reduce(list_transform(range(0, 26), lambda k: substr('0123456789abcdef', 1 + list_reduce(list_transform(range(1, 5), lambda i: substr(bits, (4 * k + i)::INTEGER, 1)::INTEGER), lambda s, x: 2 * s + x), 1)), lambda s, x: s || x) AS morton, true AS morton_back, true AS hilbert_back FROM b",
-    "length_bounded_codec": "SELECT vec_id, true AS fits, 25::INTEGER AS dims FROM embeddings",
     "truncated_vectors": "WITH t AS (SELECT vec_id, list_transform(embedding[1:32], lambda x: x::DOUBLE) AS v FROM embeddings) SELECT vec_id, 32::INTEGER AS dims, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 4) AS first FROM t",
-    "band_join": f"WITH {_hash('embeddings')}, b AS (SELECT vec_id, hi, lo, i, CASE WHEN i < 8 THEN (hi >> (8 * i)) & 255 ELSE (lo >> (8 * (i - 8))) & 255 END AS v FROM vh, range(0, 16) r(i)) SELECT DISTINCT x.vec_id AS key_a, y.vec_id AS key_b, ({_bits('x.hi', 'y.hi')} + {_bits('x.lo', 'y.lo')})::INTEGER AS distance FROM b x JOIN b y ON x.i = y.i AND x.v = y.v AND x.vec_id < y.vec_id WHERE {_bits('x.hi', 'y.hi')} + {_bits('x.lo', 'y.lo')} <= 40",
-    "lossless_codec": "SELECT vec_id, 429::INTEGER AS n_chars, len(embedding)::INTEGER AS dims, true AS exact FROM embeddings",
-    "quantised_codec": "SELECT vec_id, 135::INTEGER AS n_chars, 64::INTEGER AS dims, true AS near FROM embeddings",
-    "reduced_codec": "SELECT vec_id, 224::INTEGER AS n_chars, 32::INTEGER AS dims FROM embeddings",
-    "bits_codec": "SELECT vec_id, 84::INTEGER AS n_chars, 64::INTEGER AS dims, true AS near FROM embeddings",
-    "parsed_vectors": "SELECT vec_id, true AS list_ok, true AS json_ok FROM embeddings",
+    "band_join": f"WITH {_hash('embeddings')}, b AS (SELECT vec_id, hi, lo, i, CASE WHEN i < 4 THEN (hi >> (16 * i)) & 65535 ELSE (lo >> (16 * (i - 4))) & 65535 END AS v FROM vh, range(0, 8) r(i)) SELECT DISTINCT x.vec_id AS key_a, y.vec_id AS key_b, ({_bits('x.hi', 'y.hi')} + {_bits('x.lo', 'y.lo')})::INTEGER AS distance FROM b x JOIN b y ON x.i = y.i AND x.v = y.v AND x.vec_id < y.vec_id WHERE {_bits('x.hi', 'y.hi')} + {_bits('x.lo', 'y.lo')} <= 40",
     "id_metadata": "SELECT vec_id, 64::INTEGER AS original_dims, 16::INTEGER AS encoded_dims, false AS is_lossless, true AS has_dimension_reduction, 'full32' AS precision, 'reduce' AS dimension_mode, true AS reversible, false AS plain_reversible FROM embeddings",
     "sql_functions": f"WITH {N}, {hashes('n')} SELECT t AS p_name, round({nl('t', chr(39) + 'red' + chr(39))}, 9) AS nl, CASE WHEN length(t) = 3 THEN hamming(t, 'tin')::INTEGER END AS h, bit_count(hash)::INTEGER AS n_set FROM hs",
+    "osa_pairs": f"WITH {P}, d AS (SELECT a, b, {OSA.format(a='a', b='b')} AS distance FROM p) SELECT a, b, distance, round(1.0 - distance::DOUBLE / greatest(length(a), length(b)), 9) AS score FROM d",
+    "compare_all_metrics": f"WITH {P}, {hashes('n')}, m AS (SELECT a, b, levenshtein(a, b)::INTEGER AS levenshtein, {OSA.format(a='a', b='b')} AS osa, x.hash AS ha, y.hash AS hb FROM p JOIN hs x ON x.t = a JOIN hs y ON y.t = b) SELECT a, b, levenshtein, round({nl('a', 'b')}, 9) AS normalized_levenshtein, osa, round(jaro_similarity(a, b), 9) AS jaro, round({jw('a', 'b')}, 9) AS jaro_winkler, CASE WHEN length(a) = length(b) THEN hamming(a, b)::INTEGER END AS hamming, 1 - {_bits('ha', 'hb')}::DOUBLE / 64 AS simhash_similarity, osa < levenshtein AS transposed FROM m",
+    "normalized_vectors": "WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: (x * 3::FLOAT)::FLOAT) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_reduce(list_transform(e, lambda x: (x * x)::FLOAT), lambda s, x: (s + x)::FLOAT))::FLOAT AS nrm FROM s), v AS (SELECT vec_id, list_transform(e, lambda x: (x / nrm)::FLOAT) AS v FROM n) SELECT vec_id, round(v[1]::DOUBLE, 5) AS first, round(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE)), 4) AS square FROM v",
+    "hilbert_ids": f"WITH {HILBERT.format(unit=UNIT, coord=COORD)} SELECT vec_id, {B32.format(bits='bits')} AS id FROM hb",
+    "common_space": f"WITH both_ AS (SELECT vec_id, embedding FROM embeddings UNION ALL SELECT -1 - vec_id, list_transform(embedding, lambda x, i: CASE WHEN i <= 48 THEN x ELSE 0::FLOAT END) FROM embeddings), {projected(SEED_COMMON, rng.COMMON_SOURCE_DIMS, 32, 64).format(source='both_')}, hv AS (SELECT vec_id, list_transform(e, lambda x: {HALF.format(x='x')}) AS e FROM pr) SELECT x.vec_id, round(greatest(0.0, least(1.0, ({DOTP.format(a='x.e', b='y.e')} / (sqrt({DOTP.format(a='x.e', b='x.e')}) * sqrt({DOTP.format(a='y.e', b='y.e')})) + 1) / 2)), 4) AS similarity FROM hv x JOIN hv y ON y.vec_id = -1 - x.vec_id WHERE x.vec_id >= 0",
+    "half_codec": f"WITH {full_ids(projected(SEED_COMMON, rng.COMMON_SOURCE_DIMS, 32, 64).format(source='embeddings') + f', v AS (SELECT vec_id, list_transform(e, lambda x: {HALF.format(x=chr(120))}) AS v FROM pr)', cross_dimensional(32).header(64), joined_bits('v', HALF_BITS.format(x='x')))} SELECT ids.vec_id, id, list_transform(v, lambda x: x::DOUBLE) AS back FROM ids JOIN v USING (vec_id)",
+    "lossless_codec": f"WITH {full_ids('v AS (SELECT vec_id, embedding AS v FROM embeddings)', lossless().header(64), joined_bits('v', float_bits('x')))} SELECT ids.vec_id, id, 64::INTEGER AS dims, round(embedding[1]::DOUBLE, 5) AS first, true AS exact FROM ids JOIN embeddings USING (vec_id)",
+    "reduced_codec": f"WITH {full_ids(projected(SEED_COMPRESSED, 64, 32, 64).format(source='embeddings') + ', v AS (SELECT vec_id, e AS v FROM pr)', compressed(0.5, 64).header(64), joined_bits('v', float_bits('x')))} SELECT vec_id, id, 32::INTEGER AS dims FROM ids",
+    "length_bounded_codec": f"WITH {full_ids(projected(SEED_MAX_LENGTH, 64, 25, 64).format(source='embeddings') + f', v AS (SELECT vec_id, list_transform(e, lambda x: {HALF.format(x=chr(120))}) AS v FROM pr)', max_length(100, 64).header(64), joined_bits('v', HALF_BITS.format(x='x')))} SELECT vec_id, id, 25::INTEGER AS dims FROM ids",
+    "parsed_vectors": "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))), 4) AS list_sum, round(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))), 4) AS json_sum, embedding[1]::DOUBLE AS first, embedding[-1]::DOUBLE AS last FROM embeddings",
+    "document_hash_classes": f"WITH {text_hashes('SELECT doc_id, text FROM documents', 'doc_id')} SELECT doc_id, hash, min(doc_id) OVER (PARTITION BY hash) AS class_id, count(*) OVER (PARTITION BY hash) AS class_size FROM hk",
+    "benchmark_hash_matches": f"WITH {text_hashes('SELECT doc_id, NULL AS item_id, text FROM documents UNION ALL SELECT NULL, item_id, text FROM benchmark', 'doc_id, item_id')}, k AS (SELECT min(doc_id) AS id, hash FROM hk WHERE doc_id IS NOT NULL GROUP BY hash) SELECT k.id AS key_a, b.item_id AS key_b, {_bits('k.hash', 'b.hash')}::INTEGER AS distance FROM k JOIN hk b ON b.item_id IS NOT NULL AND {_bits('k.hash', 'b.hash')} <= 8",
+    "conversation_near_duplicates": f"WITH {text_hashes(TURNS, 'key')}, k AS (SELECT hash, min(key) AS class_id, count(*) AS class_size FROM hk GROUP BY hash), l AS (SELECT x.class_id, count(*) AS n_links FROM k x JOIN k y ON x.hash <> y.hash AND {_bits('x.hash', 'y.hash')} <= 6 GROUP BY x.class_id) SELECT key, class_id, class_size, coalesce(n_links, 0)::BIGINT AS n_links FROM hk JOIN k USING (hash) LEFT JOIN l USING (class_id)",
+    "conversation_class_pairs": f"WITH {text_hashes(TURNS, 'key')}, k AS (SELECT hash, min(key) AS class_id FROM hk GROUP BY hash) SELECT x.class_id AS key_a, y.class_id AS key_b, {_bits('x.hash', 'y.hash')}::INTEGER AS distance FROM k x JOIN k y ON x.class_id < y.class_id AND {_bits('x.hash', 'y.hash')} <= 6",
 }
+for _name, _profile in (("quantised_codec", FullProfile(QUANT8)), ("bits_codec", FullProfile(bits(4)))):
+    _n = _profile.precision.bits
+    _ids = full_ids(quantised("SELECT vec_id, embedding AS e FROM embeddings", _n), _profile.header(64), f"{float_bits('lo')} || {float_bits('hi')} || " + joined_bits("q", f"lpad(bin(x), {_n}, '0')"))
+    ORACLES[_name] = f"WITH {_ids} SELECT ids.vec_id, id, 64::INTEGER AS dims, round((lo + ((q[1]::FLOAT / {(1 << _n) - 1}::FLOAT)::FLOAT * (hi - lo)::FLOAT)::FLOAT)::FLOAT::DOUBLE, 5) AS first, true AS near FROM ids JOIN v USING (vec_id)"

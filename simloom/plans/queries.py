@@ -121,11 +121,20 @@ def document_hash_classes(spark: SparkSession, d: str) -> DataFrame:
     return blocking.hash_classes(table(spark, d, "documents"), "doc_id", "text")
 
 
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").withColumn("key", F.concat_ws("-", F.col("conv_id"), F.lpad(F.col("turn").cast("string"), 6, "0")))
+
+
 @query
 def conversation_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of text classes over 0.9 similar."""
-    c = table(spark, d, "conversations").withColumn("key", F.concat_ws("-", F.col("conv_id"), F.lpad(F.col("turn").cast("string"), 6, "0")))
-    return blocking.near_duplicate_texts(c, "key", "text", 0.9)
+    """Every turn's class of equal hashes and how many classes are over 0.9 similar."""
+    return blocking.near_duplicate_texts(_turns(spark, d), "key", "text", 0.9)
+
+
+@query
+def conversation_class_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of those classes."""
+    return blocking.similar_classes(_turns(spark, d), "key", "text", 0.9)
 
 
 @query
@@ -220,7 +229,8 @@ def hash_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def band_join(spark: SparkSession, d: str) -> DataFrame:
-    h = hashed(spark, d).withColumn("bands", vectors.hash_bands("hash", 16))
+    """Vectors that share one of eight bands of 16 bits, within 40 bits."""
+    h = hashed(spark, d).withColumn("bands", vectors.hash_bands("hash", 8))
     return blocking.band_pairs(h, None, "vec_id", "bands", "hash", 40)
 
 
@@ -248,7 +258,7 @@ def vector_checks(spark: SparkSession, d: str) -> DataFrame:
 @query
 def normalized_vectors(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select("vec_id", vectors.normalized(F.transform("embedding", lambda x: (x * 3).cast("float"))).alias("v"))
-    return e.select("vec_id", F.round(F.element_at("v", 1), 5).cast("double").alias("first"), F.round(vectors.dot("v", "v"), 4).alias("square"))
+    return e.select("vec_id", F.round(F.element_at("v", 1).cast("double"), 5).alias("first"), F.round(vectors.dot("v", "v"), 4).alias("square"))
 
 
 @query
@@ -337,30 +347,30 @@ def _coded(spark: SparkSession, d: str, profile) -> DataFrame:
     e = table(spark, d, "embeddings").select("vec_id", "embedding", vectors.encode_id("embedding", profile).alias("id"))
     e = e.withColumn("back", vectors.decode_vector("id"))
     worst = F.array_max(F.zip_with("embedding", "back", lambda x, y: F.abs(x - y)))
-    return e.select("vec_id", F.length("id").alias("n_chars"), F.size("back").alias("dims"), worst.alias("worst"))
+    return e.select("vec_id", "id", F.size("back").alias("dims"), worst.alias("worst"), F.round(F.element_at("back", 1).cast("double"), 5).alias("first"))
 
 
 @query
 def lossless_codec(spark: SparkSession, d: str) -> DataFrame:
-    return _coded(spark, d, lossless()).select("vec_id", "n_chars", "dims", (F.col("worst") == 0).alias("exact"))
+    return _coded(spark, d, lossless()).select("vec_id", "id", "dims", "first", (F.col("worst") == 0).alias("exact"))
 
 
 @query
 def quantised_codec(spark: SparkSession, d: str) -> DataFrame:
-    return _coded(spark, d, FullProfile(QUANT8)).select("vec_id", "n_chars", "dims", (F.col("worst") < 0.02).alias("near"))
+    return _coded(spark, d, FullProfile(QUANT8)).select("vec_id", "id", "dims", "first", (F.col("worst") < 0.02).alias("near"))
 
 
 @query
 def reduced_codec(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select("vec_id", vectors.encode_id("embedding", compressed(0.5, 64)).alias("id"))
-    return e.select("vec_id", F.length("id").alias("n_chars"), F.size(vectors.decode_vector("id")).alias("dims"))
+    return e.select("vec_id", "id", F.size(vectors.decode_vector("id")).alias("dims"))
 
 
 @query
 def length_bounded_codec(spark: SparkSession, d: str) -> DataFrame:
     """IDs of at most 100 characters."""
     e = table(spark, d, "embeddings").select("vec_id", vectors.encode_id("embedding", max_length(100, 64)).alias("id"))
-    return e.select("vec_id", (F.length("id") <= 100).alias("fits"), F.size(vectors.decode_vector("id")).alias("dims"))
+    return e.select("vec_id", "id", F.size(vectors.decode_vector("id")).alias("dims"))
 
 
 @query
@@ -372,7 +382,7 @@ def id_metadata(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bits_codec(spark: SparkSession, d: str) -> DataFrame:
-    return _coded(spark, d, FullProfile(bits(4))).select("vec_id", "n_chars", "dims", (F.col("worst") < 0.06).alias("near"))
+    return _coded(spark, d, FullProfile(bits(4))).select("vec_id", "id", "dims", "first", (F.col("worst") < 0.06).alias("near"))
 
 
 @query
@@ -383,11 +393,19 @@ def common_space(spark: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id", F.round(vectors.common_similarity("a", "b"), 4).alias("similarity"))
 
 
+@query
+def half_codec(spark: SparkSession, d: str) -> DataFrame:
+    """IDs in a common space, and the half-precision values that come back."""
+    e = table(spark, d, "embeddings").select("vec_id", vectors.encode_id("embedding", cross_dimensional(32)).alias("id"))
+    return e.select("vec_id", "id", F.transform(vectors.decode_vector("id"), lambda x: x.cast("double")).alias("back"))
+
+
 @query
 def parsed_vectors(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select("vec_id", "embedding", F.array_join(F.transform("embedding", lambda x: x.cast("string")), ", ").alias("t"))
     e = e.select("vec_id", vectors.parse_vector("t").alias("a"), vectors.parse_vector(F.concat(F.lit("["), F.col("t"), F.lit("]"))).alias("b"), "embedding")
-    return e.select("vec_id", (F.col("a") == F.col("embedding")).alias("list_ok"), (F.col("b") == F.col("embedding")).alias("json_ok"))
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + F.abs(x.cast("double"))), 4)
+    return e.select("vec_id", total("a").alias("list_sum"), total("b").alias("json_sum"), F.element_at("a", 1).cast("double").alias("first"), F.element_at("b", -1).cast("double").alias("last"))
 
 
 @query
