@@ -48,7 +48,7 @@ def _grouped(a: Sequence[str | None], b: Sequence[str | None], work: Callable, k
     return out
 
 
-def _osa(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
+def _osa(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, swaps: bool = True) -> np.ndarray:
     """The table of distances row by row, each of its columns over all pairs.
 
     What comes from the row above is found for a whole row at once; what comes
@@ -66,7 +66,7 @@ def _osa(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.nda
         row = np.empty((width + 1, rows), kind)
         row[0] = i
         np.minimum(up[1:] + kind(1), up[:-1] + ~same, out=row[1:])
-        if i > 1 and width > 1:
+        if swaps and i > 1 and width > 1:
             swapped = same[:-1] & before[1:]
             row[2:] = np.where(swapped, np.minimum(row[2:], two_up[:-2] + kind(1)), row[2:])
         row -= steps
@@ -83,6 +83,11 @@ def osa_distances(a: Sequence[str | None], b: Sequence[str | None]) -> np.ndarra
     return _grouped(a, b, _osa, np.int64, -1)
 
 
+def levenshtein_distances(a: Sequence[str | None], b: Sequence[str | None]) -> np.ndarray:
+    """Plain edits; -1 for null pairs."""
+    return _grouped(a, b, lambda *x: _osa(*x, swaps=False), np.int64, -1)
+
+
 def _jaro(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
     """Greedy matches from the left, a character of all first strings at a time.
 

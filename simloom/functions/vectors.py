@@ -118,25 +118,6 @@ def _texts(column: pa.Array, work: Callable[[np.ndarray], np.ndarray], strict: b
     return pa.array(out, pa.string())
 
 
-def _by_size(vectors: pd.Series, work: Callable[[np.ndarray], list], check: bool, strict: bool) -> list:
-    out: list = [None] * len(vectors)
-    groups: dict[int, list[int]] = {}
-    for k, v in enumerate(vectors):
-        if v is None:
-            continue
-        bad = check and not MIN_DIMS <= len(v) <= MAX_DIMS
-        if bad or (check and not np.isfinite(np.asarray(v, np.float32)).all()):
-            if strict:
-                raise ValueError("a vector of wrong size" if bad else "a component that isn't finite")
-            continue
-        groups.setdefault(len(v), []).append(k)
-    for size, rows in groups.items():
-        found = work(np.stack([np.asarray(vectors.iloc[k], np.float32) for k in rows]).reshape(len(rows), size))
-        for k, x in zip(rows, found, strict=True):
-            out[k] = x
-    return out
-
-
 def _unit(v: np.ndarray) -> np.ndarray:
     total = np.zeros(len(v), np.float32)
     for j in range(v.shape[1]):
@@ -233,6 +214,19 @@ def is_reversible(text: Column | str) -> Column:
     return F.coalesce(base32.is_valid(text) & (F.length(text) >= 4) & (F.pmod(F.floor(kind / 4), F.lit(16)) == 4), F.lit(False))
 
 
+def id_profile(text: Column | str) -> Column:
+    """The profile's name by the header: hash, morton, hilbert or full; null of what is no ID.
+
+    Lengths are checked: 18 bytes of a hash, at least three of a curve, at
+    least 12 of a full vector.
+    """
+    text = _col(text)
+    size = F.floor(F.length(text) * 5 / 8)
+    kind = F.pmod(F.floor(F.conv(F.substring(text, 1, 2), 32, 10).cast("int") / 4), F.lit(16))
+    name = F.when((kind == 1) & (size == 18), "hash").when((kind == 2) & (size >= 3), "morton").when((kind == 3) & (size >= 3), "hilbert").when((kind == 4) & (size >= 12), "full")
+    return F.when(base32.is_valid(text) & (F.length(text) >= 4) & ~F.pmod(F.length(text), F.lit(8)).isin(1, 3, 6), name)
+
+
 def profile_prefix(profile: Profile) -> str:
     """What all IDs of a profile begin with; prefix scans put it before their own."""
     head = profile.header(MIN_DIMS)[:2]
@@ -326,11 +320,14 @@ def suggest_bands(distance: int, recall: float) -> int | None:
 
 
 def _code(v: Column | str, make: Callable, bits: int, n_out: str = "string") -> Column:
-    def run(s: pd.Series) -> pd.Series:
-        out = _by_size(s, lambda m: [x.tobytes().hex() for x in curves.to_bytes(make(m.astype(np.int64), bits))], False, False)
-        return pd.Series(out, dtype="object")
+    def run(a: pa.Array) -> pa.Array:
+        out = np.full(len(a), None, object)
+        for at, m in _rows(a, False, False):
+            data = curves.to_bytes(make(m.astype(np.int64), bits))
+            out[at] = np.frombuffer(data.tobytes().hex().encode(), f"S{2 * data.shape[1]}").astype(str) if data.shape[1] else ""
+        return pa.array(out, pa.string())
 
-    return F.pandas_udf(run, n_out)(as_floats(v))
+    return F.arrow_udf(run, n_out)(as_floats(v))
 
 
 def morton_encode(coords: Column | str, bits: int) -> Column:

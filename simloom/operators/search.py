@@ -8,6 +8,7 @@ small; Spark's own size check decides in all other cases.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -132,7 +133,7 @@ def hash_search(df: DataFrame, query: str | int, column: str = "hash", key: str
     h = simhash_text(query) if isinstance(query, str) else query & ((1 << 64) - 1)
     if compat_range:
         number = F.conv(F.hex(column), 16, 10).cast("decimal(20,0)")
-        df = df.where(number.between(max(0, h - (1 << most)), h + (1 << most))).orderBy(key).limit(100)
+        df = df.where(number.between(*(F.lit(Decimal(x)) for x in (max(0, h - (1 << most)), h + (1 << most))))).orderBy(key).limit(100)
     distance = simhash_distance(F.col(column), F.lit(h - (1 << 64) if h >> 63 else h))
     found = df.withColumn("distance", distance).where(F.col("distance") <= most).withColumn("similarity", 1 - F.col("distance") / 64.0).orderBy("distance", key)
     return found if limit is None else found.limit(limit)

@@ -124,6 +124,7 @@ HALF = "(CASE WHEN {x} = 0 THEN 0.0 ELSE round_even({x}::DOUBLE / pow(2.0, great
 
 #: Bits of a half-precision value.
 HALF_BITS = "lpad(bin(((CASE WHEN {x} < 0 THEN 32768 ELSE 0 END) + (CASE WHEN {x} = 0 THEN 0 WHEN abs({x}::DOUBLE) < pow(2.0, -14) THEN (abs({x}::DOUBLE) * 16777216)::BIGINT ELSE (floor(log2(abs({x}::DOUBLE)))::BIGINT + 15) * 1024 + ((abs({x}::DOUBLE) / pow(2.0, floor(log2(abs({x}::DOUBLE)))) - 1) * 1024)::BIGINT END))::BIGINT), 16, '0')"
+EVENT_TEXTS = "SELECT event_id, concat_ws(' ', event_type, props) AS text FROM events"
 TURNS = "SELECT conv_id || '-' || lpad(turn::VARCHAR, 6, '0') AS key, text FROM conversations"
 
 
@@ -228,3 +229,39 @@ for _name, _profile in (("quantised_codec", FullProfile(QUANT8)), ("bits_codec",
     _n = _profile.precision.bits
     _ids = full_ids(quantised("SELECT vec_id, embedding AS e FROM embeddings", _n), _profile.header(64), f"{float_bits('lo')} || {float_bits('hi')} || " + joined_bits("q", f"lpad(bin(x), {_n}, '0')"))
     ORACLES[_name] = f"WITH {_ids} SELECT ids.vec_id, id, 64::INTEGER AS dims, round((lo + ((q[1]::FLOAT / {(1 << _n) - 1}::FLOAT)::FLOAT * (hi - lo)::FLOAT)::FLOAT)::FLOAT::DOUBLE, 5) AS first, true AS near FROM ids JOIN v USING (vec_id)"
+
+#: The toy model's vectors: mean over words of what their lengths give, to length one.
+TOY = f"""{N}, tw AS (SELECT p_name, unnest(string_split_regex(trim(p_name), '\\s+')) AS w FROM n),
+    tc AS (SELECT p_name, k, avg((((length(w) + 1) * (k + 3) * 7919 % 17) - 8) / 8.0::DOUBLE) AS x FROM tw, range(0, 64) r(k) WHERE length(w) < 12 GROUP BY p_name, k),
+    tv AS (SELECT p_name, list(x ORDER BY k) AS m FROM tc GROUP BY p_name),
+    toy AS (SELECT p_name, list_transform(m, lambda x: x / sqrt(list_sum(list_transform(m, lambda y: y * y)))) AS v FROM tv)"""
+HEX = "list_reduce(list_transform(range(0, length({bits}) // 4), lambda k: substr('0123456789ABCDEF', 1 + list_reduce(list_transform(range(1, 5), lambda i: substr({bits}, (4 * k + i)::INTEGER, 1)::INTEGER), lambda s, x: 2 * s + x), 1)), lambda s, x: s || x)"
+LISTED = "['blue ring', 'red widget', 'small']"
+ORACLES |= {
+    "decoded_ids": f"WITH {MORTON} SELECT vec_id, {HEX.format(bits='substr(bits, 1, 120)')} AS bytes FROM b",
+    "vectors_from_doubles": ORACLES["hash_ids"],
+    "hash_bytes_back": f"WITH {_hash('embeddings')}, {BIT_TEXT} SELECT vec_id, {HEX.format(bits='bits')} AS bytes, hi, lo, true AS short_is_null FROM vh JOIN bt USING (vec_id)",
+    "id_profiles": "SELECT vec_id, i::INTEGER AS place, CASE i WHEN 0 THEN 'hash' WHEN 1 THEN 'morton' WHEN 2 THEN 'hilbert' WHEN 3 THEN 'full' END AS profile FROM embeddings, range(0, 15) r(i)",
+    "profile_sizes": "WITH p(profile, type_id, per_dim, fixed, kept) AS (VALUES ('hash', 1, 0, 128, 0), ('morton', 2, 0, 100, 0), ('hilbert', 3, 0, 128, 0), ('lossless', 4, 32, 0, 0), ('quant8', 4, 8, 0, 0), ('bits4', 4, 4, 0, 0), ('common128', 4, 16, 0, 128)), l AS (SELECT *, (fixed + per_dim * CASE WHEN kept > 0 THEN kept ELSE dims END)::INTEGER AS b FROM p, (VALUES (64), (128), (768)) d(dims)) SELECT profile, dims::INTEGER AS dims, b AS bit_length, ceil((b + CASE WHEN type_id = 4 THEN 96 ELSE 16 END) / 5.0)::INTEGER AS string_length, type_id::INTEGER AS type_id, type_id = 4 AS reversible FROM l",
+    "refused_profiles": "SELECT 'curve' AS kind, n::INTEGER AS dims, b::INTEGER AS bits, NOT (n BETWEEN 1 AND 32 AND b BETWEEN 1 AND 16 AND n * b <= 128) AS refused FROM (VALUES (0), (1), (8), (16), (32), (33)) x(n), (VALUES (0), (1), (4), (16), (17)) y(b) UNION ALL SELECT 'bits', 0, b::INTEGER, NOT b BETWEEN 1 AND 32 FROM (VALUES (0), (1), (32), (33)) z(b)",
+    "suggested_bands": "WITH g AS (SELECT (4 * i)::INTEGER AS distance, r::DOUBLE AS recall FROM range(0, 17) x(i), (VALUES (0.5), (0.9), (0.99)) y(r)) SELECT distance, recall, (SELECT min(n) FROM (VALUES (1), (2), (4), (8), (16)) z(n) WHERE 1 - pow(1 - pow(1 - distance / 128.0, 128 / n), n) >= recall)::INTEGER AS bands FROM g",
+    "hash_positions": f"WITH {N}, {hashes('n')}, l AS (SELECT left(t, 1) AS first, list(hash ORDER BY t) AS hs FROM hs GROUP BY 1) SELECT first, list_filter(list_transform(hs, lambda h, i: CASE WHEN {_bits('h', 'hs[1]')} <= 24 THEN (i - 1)::INTEGER END), lambda x: x IS NOT NULL) AS places FROM l",
+    "hash_range_lookup": f"WITH {N}, s AS (SELECT p_name FROM n UNION SELECT 'red brass'), {hashes('s')}, u AS (SELECT t, hash, CASE WHEN hash < 0 THEN hash::HUGEINT + 18446744073709551616::HUGEINT ELSE hash::HUGEINT END AS x FROM hs), q AS (SELECT hash AS qh, x AS qx FROM u WHERE t = 'red brass'), w AS (SELECT t, hash, qh FROM u, q WHERE t IN (SELECT p_name FROM n) AND x BETWEEN greatest(0::HUGEINT, qx - 4611686018427387904::HUGEINT) AND qx + 4611686018427387904::HUGEINT ORDER BY t LIMIT 100) SELECT t AS p_name, {_bits('hash', 'qh')}::INTEGER AS distance, 1 - {_bits('hash', 'qh')}::DOUBLE / 64 AS similarity FROM w WHERE {_bits('hash', 'qh')} <= 62",
+    "embedded_texts": f"WITH {TOY} SELECT p_name, round(v[1], 4) AS first, round(v[64], 4) AS last, 1.0::DOUBLE AS square FROM toy",
+    "model_from_files": f"WITH {TOY} SELECT p_name, round(v[1], 4) AS first FROM toy",
+    "model_folders": "SELECT 'given' AS given, true AS is_set",
+    "formats_back": "SELECT kind, p_partkey, p_name, p_size FROM part, (VALUES ('json'), ('csv'), ('orc')) k(kind)",
+    "stored_ids": ORACLES["id_prefix_scan"],
+    "stored_bands": f"WITH {_hash('embeddings')}, {BIT_TEXT}, w AS (SELECT i, substr(bits, (16 * i + 1)::INTEGER, 16) || '0000' AS b FROM bt, range(0, 8) r(i)), v AS (SELECT i, {B32.format(bits='b')} AS band FROM w) SELECT i::INTEGER AS band_idx, band, count(*) AS n FROM v GROUP BY i, band HAVING count(*) > 1",
+    "stored_text_hashes": ORACLES["stored_hashes"],
+    "image_sizes": "WITH s AS (SELECT width, height, greatest(224, round_even(width * (256.0::DOUBLE / least(width, height)), 0))::INTEGER AS w, greatest(224, round_even(height * (256.0::DOUBLE / least(width, height)), 0))::INTEGER AS h FROM (VALUES (100), (224), (256), (640), (1000)) x(width), (VALUES (100), (300), (768)) y(height)) SELECT width::INTEGER AS width, height::INTEGER AS height, w AS scaled_width, h AS scaled_height, ((w - 224) // 2)::INTEGER AS \"left\", ((h - 224) // 2)::INTEGER AS \"top\" FROM s",
+    "stream_scores": f"SELECT p_partkey, p_name, round({best(chr(39) + 'red bras' + chr(39), 'p_name')}, 9) AS score FROM part WHERE {best(chr(39) + 'red bras' + chr(39), 'p_name')} >= 0.6",
+    "stream_matches": "SELECT p_partkey, p_name, word, levenshtein(p_name, word)::INTEGER AS distance FROM part, (SELECT unnest([" + ", ".join("'" + w.replace("e", "a") + "'" for w in WORDS) + ", 'small rong', 'blue wodgat']) AS word) WHERE levenshtein(p_name, word) <= 2",
+    "stream_first_of_each": f"WITH {text_hashes(EVENT_TEXTS, 'event_id')} SELECT DISTINCT hash AS simhash FROM hk",
+    "stream_counts": "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1, 2",
+    "sql_matches": f"WITH {N}, s AS (SELECT p_name FROM n UNION SELECT 'red ring'), {hashes('s')}, q AS (SELECT hash AS qh FROM hs WHERE t = 'red ring'), c AS (SELECT p_name, c, i, {best('p_name', 'c')} AS score FROM n, (SELECT unnest({LISTED}) AS c, unnest([0, 1, 2]) AS i)), l AS (SELECT p_name, arg_max(i, (score, i))::INTEGER AS nearest, count(*) FILTER (score >= 0.7)::INTEGER AS n_above FROM c GROUP BY p_name) SELECT n.p_name, round({best('n.p_name', chr(39) + 'red ring' + chr(39))}, 9) AS best, round({jw('n.p_name', chr(39) + 'red ring' + chr(39), 0.2)}, 9) AS jw20, {OSA.format(a='n.p_name', b=chr(39) + 'der ring' + chr(39))} AS osa, nearest, n_above, levenshtein(lower(n.p_name), 'red ring')::INTEGER AS prepared, round(1 - {_bits('hash', 'qh')}::DOUBLE / 64, 9) AS sh FROM n JOIN l USING (p_name) JOIN hs ON t = n.p_name, q",
+    "sql_best_of_group": f"SELECT p_brand, arg_max(p_name, ({best(chr(39) + 'red rings' + chr(39), 'p_name')}, p_name)) AS best FROM part WHERE p_name IS NOT NULL GROUP BY p_brand",
+    "sql_bands": f"WITH {_hash('embeddings')}, {BIT_TEXT}, w AS (SELECT vec_id, i, substr(bits, (32 * i + 1)::INTEGER, 32) || '000' AS b FROM bt, range(0, 4) r(i)) SELECT vec_id, i::INTEGER AS band_idx, {B32.format(bits='b')} AS band, true AS same FROM w",
+}
+ORACLES["embedded_text_distances"] = f"WITH {TOY}, asked AS (SELECT list_transform(range(0, 64), lambda k: (((6 * (k + 3) * 7919 % 17) - 8) / 8.0 + ((5 * (k + 3) * 7919 % 17) - 8) / 8.0 + ((5 * (k + 3) * 7919 % 17) - 8) / 8.0) / 3) AS v), every AS (SELECT p_name AS vec_id, v AS embedding FROM toy UNION ALL SELECT '?', v FROM asked), {_hash('every')}, q AS (SELECT hi AS qh, lo AS ql FROM vh WHERE vec_id = '?') SELECT vec_id AS p_name, ({_bits('hi', 'qh')} + {_bits('lo', 'ql')})::INTEGER AS distance FROM vh, q WHERE vec_id <> '?'"
+ORACLES["sql_ids"] = f"WITH a AS ({ORACLES['hash_ids']}), b AS ({ORACLES['morton_ids']}), c AS ({ORACLES['hilbert_ids']}), d AS ({ORACLES['length_bounded_codec']}), e AS ({ORACLES['decoded_ids']}) SELECT a.vec_id, a.id AS h, b.id AS m, c.id AS b, d.id AS x, 32::INTEGER AS dims, 0::INTEGER AS same, e.bytes AS raw FROM a JOIN b USING (vec_id) JOIN c USING (vec_id) JOIN d USING (vec_id) JOIN e USING (vec_id)"

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from simloom.functions import fingerprint, metrics, vectors
-from simloom.functions.profiles import QUANT8, FullProfile, HilbertProfile, MortonProfile, bits, compressed, cross_dimensional, lossless, max_length
+from simloom.functions import base32, fingerprint, metrics, vectors
+from simloom.functions.embed import TextModel, crop_box, embed_text, models_dir, read_safetensors
+from simloom.functions.profiles import QUANT8, FullProfile, HashProfile, HilbertProfile, MortonProfile, bits, compressed, cross_dimensional, lossless, max_length
 from simloom.operators import blocking, scan, search
-from simloom.sources.tables import table
+from simloom.sources.tables import read, table, with_stored_hash, workspace, write_by_band, write_by_id
+from simloom.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Literal queries of the search operators.
@@ -425,6 +430,206 @@ def url_similarity(spark: SparkSession, d: str) -> DataFrame:
     return blocking.edit_pairs(hosts, "host", "host", 2)
 
 
+# IDs and bytes
+
+
+@query
+def decoded_ids(spark: SparkSession, d: str) -> DataFrame:
+    return morton_ids(spark, d).select("vec_id", F.hex(vectors.decode_id("id")).alias("bytes"))
+
+
+@query
+def vectors_from_doubles(spark: SparkSession, d: str) -> DataFrame:
+    """IDs of vectors that are stored as doubles."""
+    return table(spark, d, "embeddings").select("vec_id", vectors.encode_id(F.col("embedding").cast("array<double>")).alias("id"))
+
+
+@query
+def hash_bytes_back(spark: SparkSession, d: str) -> DataFrame:
+    h = hashed(spark, d).select("vec_id", vectors.hash_to_bytes("hash").alias("b"))
+    h = h.select("vec_id", F.hex("b").alias("bytes"), vectors.hash_from_bytes("b").alias("h"), vectors.hash_from_bytes(F.substring("b", 1, 15)).isNull().alias("short_is_null"))
+    return h.select("vec_id", "bytes", "h.hi", "h.lo", "short_is_null")
+
+
+@query
+def id_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """The profile that an ID's header names, of good and broken ones."""
+    e = table(spark, d, "embeddings")
+    one = lambda p: vectors.encode_id("embedding", p)
+    good = e.select("vec_id", F.array(one(None), one(MortonProfile()), one(HilbertProfile()), one(lossless())).alias("ids"))
+    ids = good.select("vec_id", F.concat("ids", F.transform("ids", lambda x: F.substring(x, 1, 3)), F.transform("ids", lambda x: F.upper(x)), F.array(F.lit(""), F.lit("w000"), F.lit(None).cast("string"))).alias("ids"))
+    return ids.select("vec_id", F.posexplode("ids").alias("place", "id")).select("vec_id", "place", vectors.id_profile("id").alias("profile"))
+
+
+@query
+def profile_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Bits and characters of IDs by profile and size of vectors."""
+    known = {"hash": HashProfile(), "morton": MortonProfile(), "hilbert": HilbertProfile(8, 16), "lossless": lossless(), "quant8": FullProfile(QUANT8), "bits4": FullProfile(bits(4)), "common128": cross_dimensional(128)}
+    rows = [(name, n, p.bit_length(n), p.string_length(n), p.type_id, p.reversible) for name, p in known.items() for n in (64, 128, 768)]
+    return spark.createDataFrame(rows, "profile string, dims int, bit_length int, string_length int, type_id int, reversible boolean")
+
+
+@query
+def refused_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Which parameters of curves and precisions are refused."""
+    tried = [("curve", n, b) for n in (0, 1, 8, 16, 32, 33) for b in (0, 1, 4, 16, 17)] + [("bits", 0, b) for b in (0, 1, 32, 33)]
+
+    def refused(kind: str, n: int, b: int) -> bool:
+        try:
+            MortonProfile(n, b) if kind == "curve" else bits(b)
+        except ValueError:
+            return True
+        return False
+
+    return spark.createDataFrame([(*t, refused(*t)) for t in tried], "kind string, dims int, bits int, refused boolean")
+
+
+@query
+def suggested_bands(spark: SparkSession, d: str) -> DataFrame:
+    """The fewest bands that meet a pair at a distance with a chance."""
+    rows = [(n, r, vectors.suggest_bands(n, r)) for n in range(0, 65, 4) for r in (0.5, 0.9, 0.99)]
+    return spark.createDataFrame(rows, "distance int, recall double, bands int")
+
+
+@query
+def hash_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Of arrays of hashes the places of those within 24 bits of the first."""
+    n = names(spark, d).select("p_name", fingerprint.simhash("p_name").alias("h"))
+    lists = n.groupBy(F.substring("p_name", 1, 1).alias("first")).agg(F.transform(F.array_sort(F.collect_list(F.struct("p_name", "h"))), lambda x: x["h"]).alias("hs"))
+    return lists.select("first", fingerprint.similar_positions("hs", F.element_at("hs", 1), 24).alias("places"))
+
+
+@query
+def hash_range_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The lookup by a range of numbers, which loses matches."""
+    n = names(spark, d).select("p_name", fingerprint.simhash("p_name").alias("hash"))
+    return search.hash_search(n, "red brass", "hash", "p_name", 62, None, compat_range=True).select("p_name", "distance", "similarity")
+
+
+# models
+
+
+def _toy_model() -> TextModel:
+    """A table of token vectors; a token is a word's length."""
+    place, token = np.arange(64), np.arange(12)[:, None]
+    return TextModel((((token + 1) * (place + 3) * 7919 % 17 - 8) / 8).astype(np.float32), lambda t: [len(w) for w in t.split()])
+
+
+def _embedded(spark: SparkSession, d: str) -> DataFrame:
+    return names(spark, d).select("p_name", embed_text("p_name", _toy_model).alias("v"))
+
+
+@query
+def embedded_texts(spark: SparkSession, d: str) -> DataFrame:
+    return _embedded(spark, d).select("p_name", F.round(F.element_at("v", 1).cast("double"), 4).alias("first"), F.round(F.element_at("v", 64).cast("double"), 4).alias("last"), F.round(vectors.dot("v", "v"), 4).alias("square"))
+
+
+@query
+def embedded_text_distances(spark: SparkSession, d: str) -> DataFrame:
+    """Embed, encode, compare: each name's hash ID against that of a literal text."""
+    model = _toy_model()
+    one = model.embed("small blue ring")
+    asked = base32.encode(vectors.id_bytes(one[None], HashProfile())[0])
+    return _embedded(spark, d).select("p_name", vectors.id_distance(vectors.encode_id("v"), F.lit(asked)).alias("distance"))
+
+
+@query
+def model_from_files(spark: SparkSession, d: str) -> DataFrame:
+    """A table of token vectors written as a safetensors file, sent to executors and read there."""
+    vectors_ = _toy_model().vectors
+    head = json.dumps({"embeddings": {"dtype": "F32", "shape": list(vectors_.shape), "data_offsets": [0, vectors_.nbytes]}}).encode()
+    data = len(head).to_bytes(8, "little") + head + vectors_.astype("<f4").tobytes()
+    load = lambda: TextModel(read_safetensors(data), lambda t: [len(w) for w in t.split()])
+    return names(spark, d).select("p_name", embed_text("p_name", load).alias("v")).select("p_name", F.round(F.element_at("v", 1).cast("double"), 4).alias("first"))
+
+
+@query
+def model_folders(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(models_dir("given"), models_dir())], "given string, default string").withColumn("is_set", F.length("default") > 0).select("given", "is_set")
+
+
+# sources and stored tables
+
+
+@query
+def formats_back(spark: SparkSession, d: str) -> DataFrame:
+    """The parts written as JSON, CSV and ORC, and read again."""
+    p, folder = table(spark, d, "part").select("p_partkey", "p_name", "p_size"), workspace(spark)
+    out = None
+    for kind in ("json", "csv", "orc"):
+        to = p.write.option("header", True) if kind == "csv" else p.write
+        getattr(to, kind)(f"{folder}/{kind}")
+        one = read(spark, f"{folder}/{kind}", kind, None if kind == "orc" else "p_partkey long, p_name string, p_size int").select(F.lit(kind).alias("kind"), "p_partkey", "p_name", "p_size")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@query
+def stored_ids(spark: SparkSession, d: str) -> DataFrame:
+    """A prefix scan of a table that is stored in order of IDs."""
+    path = f"{workspace(spark)}/ids"
+    write_by_id(morton_ids(spark, d), path, files=4)
+    return scan.by_prefix(spark.read.parquet(path), "08007", "id")
+
+
+@query
+def stored_bands(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs that share a band, from a table bucketed by band."""
+    name = f"simloom_bands_{uuid.uuid4().hex}"
+    write_by_band(blocking.band_table(hashed(spark, d).withColumn("bands", vectors.hash_bands("hash", 8)), "vec_id"), name, 8)
+    b = spark.table(name)
+    return b.groupBy("band_idx", "band").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query
+def stored_text_hashes(spark: SparkSession, d: str) -> DataFrame:
+    return with_stored_hash(table(spark, d, "part").select("p_partkey", "p_name"), f"{workspace(spark)}/hashes", "p_name")
+
+
+@query
+def image_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Size after scaling and corner of the crop, of images of some sizes."""
+    sizes = [(w, h) for w in (100, 224, 256, 640, 1000) for h in (100, 300, 768)]
+    return spark.createDataFrame([(w, h, *crop_box(w, h)) for w, h in sizes], "width int, height int, scaled_width int, scaled_height int, `left` int, `top` int")
+
+
+# streams
+
+
+def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table as a stream of its file; times are instants."""
+    known = table(spark, d, name)
+    stream = spark.readStream.schema(known.schema).parquet(f"{d}/{name}.parquet*")
+    return stream.withColumns({c: F.col(c).cast("timestamp") for c, t in known.dtypes if t == "timestamp_ntz"})
+
+
+@query
+def stream_scores(spark: SparkSession, d: str) -> DataFrame:
+    found = streams.scored_stream(_stream(spark, d, "part").select("p_partkey", "p_name"), "red bras", "p_name", "best_match", 0.6)
+    return streams.drained(found, workspace(spark)).withColumn("score", rounded("score"))
+
+
+@query
+def stream_matches(spark: SparkSession, d: str) -> DataFrame:
+    known = search.literals(table(spark, d, "part"), [w.replace("e", "a") for w in WORDS] + ["small rong", "blue wodgat"], "word")
+    found = streams.matched_stream(_stream(spark, d, "part").select("p_partkey", "p_name"), known, "p_name", "word", 2)
+    return streams.drained(found, workspace(spark))
+
+
+@query
+def stream_first_of_each(spark: SparkSession, d: str) -> DataFrame:
+    """Hashes of event types and props, each once."""
+    e = _stream(spark, d, "events").select("ts", F.concat_ws(" ", "event_type", "props").alias("t"))
+    return streams.drained(streams.deduplicated_stream(e, "t", "ts", "40 days").select("simhash"), workspace(spark))
+
+
+@query
+def stream_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Events by type and day, of days that the watermark has passed."""
+    found = streams.counted_stream(_stream(spark, d, "events"), "event_type", "ts", "1 day", "1 day")
+    return streams.drained(found.select(F.col("window.start").alias("day"), "event_type", "n"), workspace(spark))
+
+
 @query
 def sql_functions(spark: SparkSession, d: str) -> DataFrame:
     """The registered names, from SQL."""
@@ -433,3 +638,50 @@ def sql_functions(spark: SparkSession, d: str) -> DataFrame:
     register(spark)
     names(spark, d).createOrReplaceTempView("simloom_names")
     return spark.sql("select p_name, round(normalized_levenshtein(p_name, 'red'), 9) as nl, hamming_distance(p_name, 'tin') as h, simhash_distance(simhash(p_name), 0) as n_set from simloom_names")
+
+
+@query
+def sql_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Names with parameters and arrays, from SQL."""
+    from simloom.functions.register import register
+
+    register(spark)
+    names(spark, d).createOrReplaceTempView("simloom_names")
+    return spark.sql(
+        "select p_name, round(best_match(p_name, 'red ring'), 9) as best, round(jaro_winkler_with_prefix(p_name, 'red ring', 0.2d), 9) as jw20, osa_distance(p_name, 'der ring') as osa, "
+        "find_best_match(p_name, array('blue ring', 'red widget', 'small')).index as nearest, size(find_matches_above_threshold(p_name, array('blue ring', 'red widget', 'small'), 0.7d)) as n_above, "
+        "levenshtein_with_opts(concat(' ', upper(p_name)), 'red ring', false, true) as prepared, round(simhash_similarity(p_name, 'red ring'), 9) as sh from simloom_names"
+    )
+
+
+@query
+def sql_ids(spark: SparkSession, d: str) -> DataFrame:
+    from simloom.functions.register import register
+
+    register(spark)
+    table(spark, d, "embeddings").createOrReplaceTempView("simloom_vectors")
+    return spark.sql(
+        "select vec_id, encode_hash(embedding) as h, encode_morton(embedding, 10, 10) as m, encode_hilbert(embedding, 10, 10) as b, encode_max_length(embedding, 100) as x, "
+        "id_metadata(encode_compressed(embedding, 0.5d)).encoded_dims as dims, id_distance(encode_hash(embedding), encode_hash(embedding)) as same, hex(decode_id(encode_morton(embedding, 10, 10))) as raw from simloom_vectors"
+    )
+
+
+@query
+def sql_bands(spark: SparkSession, d: str) -> DataFrame:
+    """The table function of bands, beside its column form."""
+    from simloom.functions.register import register
+
+    register(spark)
+    hashed_ = table(spark, d, "embeddings").select("vec_id", "embedding", vectors.vector_bands("embedding", 4).alias("own"))
+    hashed_.createOrReplaceTempView("simloom_banded")
+    return spark.sql("select vec_id, b.band_idx, b.band, b.band = own[b.band_idx] as same from simloom_banded, lateral explode_bands(embedding, 4) b")
+
+
+@query
+def sql_best_of_group(spark: SparkSession, d: str) -> DataFrame:
+    """The name of each brand that matches a text best."""
+    from simloom.functions.register import register
+
+    register(spark)
+    table(spark, d, "part").createOrReplaceTempView("simloom_parts")
+    return spark.sql("select p_brand, best_match_agg('red rings', p_name) as best from (select distinct p_brand, p_name from simloom_parts where p_name is not null) t group by p_brand")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def workspace(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: in ``spark.checkpoint.dir``, or a local one in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="simloom-")
+    return f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
 def read(spark: SparkSession, path: str, kind: str = "parquet", schema: str | None = None) -> DataFrame:
     """Parquet, JSON lines, CSV with a header, or ORC."""
     reader = spark.read if schema is None else spark.read.schema(schema)

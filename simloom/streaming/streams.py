@@ -39,6 +39,13 @@ def deduplicated_stream(stream: DataFrame, text: str, time: str, within: str = "
     return stream.withColumn("simhash", simhash(F.coalesce(F.col(text), F.lit("")))).withWatermark(time, within).dropDuplicatesWithinWatermark(["simhash"])
 
 
+def drained(stream: DataFrame, folder: str) -> DataFrame:
+    """All that a stream gives for the input that is there now, as Parquet in a shared folder."""
+    q = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
 def counted_stream(stream: DataFrame, column: str, time: str, window: str = "5 minutes", within: str = "10 minutes") -> DataFrame:
     """Rows per value and window."""
     return stream.withWatermark(time, within).groupBy(F.window(time, window), column).agg(F.count("*").alias("n"))
