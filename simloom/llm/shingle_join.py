@@ -4,12 +4,17 @@ Shingles are brought into one order, the rarer first.  Sets of a similarity of
 t share at least t times the size of either, so both have one of the same
 shingles among their first ``n - ceil(t n) + 1``; no such pair is missed.  Only
 these prefixes are shuffled.  What meets is held against the bounds that sizes
-and places give, then verified on the whole sets.
+and places give, and against a parity bitmap: a set's bitmap has a bit for each
+residue of hashes that an odd number of its shingles fall on, so bitmaps differ
+in at most as many bits as sets differ in shingles.  What is left is verified
+on the whole sets.
 
 The order is by counts in a sample of texts (then by hash), which decides how
 many pairs meet and never which are found.  Members of a bucket are first
-verified against one of them; after that only pairs whose ends are still in
-different components are, so a group of copies costs as much as its rows.
+verified against one of them; then each against the few of other components
+whose bitmaps are nearest, which joins most of a group; last, all pairs whose
+ends are still in different components.  So a group of copies costs about as
+much as its rows, and no pair that could join components is left out.
 
 Shingles and sets are known by hashes of 64 bits.
 """
@@ -18,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -35,7 +41,12 @@ SAMPLE, COMMON, MOST_COMMON = 20_000, 3, 500_000
 SENT = 4_000_000
 #: Rows of postings and pairs in a batch.
 ROWS = 65_536
+#: Nearest members that a bucket's member is verified against before all others.
+NEAREST = 4
 _PLACE = 1 << 31
+#: Bits of a bitmap, as columns of 64.
+BITMAP, _WORDS = 256, ("b0", "b1", "b2", "b3")
+_BITMAP_TYPES = ", ".join(f"{c} long" for c in _WORDS)
 
 
 def shingles(raw: bytes, words: int = 5) -> np.ndarray:
@@ -52,6 +63,12 @@ def set_id(held: np.ndarray) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(held.tobytes()), "little", signed=True)
 
 
+def bitmap(held: np.ndarray) -> np.ndarray:
+    """The parity bitmap of a set, as four long integers."""
+    odd = np.bincount(held & (BITMAP - 1), minlength=BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / max(len(a) + len(b) - both, 1) >= similarity
@@ -90,7 +107,7 @@ def _prefix(held: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity
 
 
 def marked_sets(df: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:
-    """``key``, ``fp`` (a set's identifier), ``n`` (its size) and ``prefix``."""
+    """``key``, ``fp`` (a set's identifier), ``n`` (its size), ``prefix`` and its bitmap."""
     common, counts = common_shingles(df.select(F.col(text).alias("text")), words)
     kind = df.schema[key].dataType.simpleString()
 
@@ -98,27 +115,35 @@ def marked_sets(df: DataFrame, key: str, text: str, words: int, similarity: floa
         for b in slices(batches):
             held = [shingles(t, words) for t in _texts(b, 1)]
             prefixes = [_prefix(h, common, counts, similarity).tobytes() for h in held]
-            yield pa.record_batch([b.column(0), pa.array(map(set_id, held), pa.int64()), pa.array(map(len, held), pa.int64()), pa.array(prefixes, pa.binary())], names=["k", "fp", "n", "prefix"])
+            bits = np.array([bitmap(h) for h in held], np.int64).reshape(-1, len(_WORDS))
+            yield pa.record_batch([b.column(0), pa.array(map(set_id, held), pa.int64()), pa.array(map(len, held), pa.int64()), pa.array(prefixes, pa.binary()), *map(pa.array, bits.T.copy())], names=["k", "fp", "n", "prefix", *_WORDS])
 
-    return df.select(F.col(key).alias("k"), text).mapInArrow(lean(run), f"k {kind}, fp long, n long, prefix binary").withColumnRenamed("k", key)
+    return df.select(F.col(key).alias("k"), text).mapInArrow(lean(run), f"k {kind}, fp long, n long, prefix binary, {_BITMAP_TYPES}").withColumnRenamed("k", key)
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each shingle of the prefixes with the set and, as one number, its size and the shingle's place."""
+    """Each shingle of the prefixes with the set, its size and the shingle's place as one number, and its bitmap."""
     for b in batches:
         fp, first = np.unique(b.column(0).to_numpy(), return_index=True)
         n = b.column(1).to_numpy()[first]
         raw = b.column(2).take(pa.array(first)).to_pylist()
         sizes = np.array([len(x) // 8 for x in raw], np.int64)
         place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        yield pa.record_batch([pa.array(np.frombuffer(b"".join(raw), np.int64)), pa.array(np.repeat(fp, sizes)), pa.array(np.repeat(n, sizes) * _PLACE + place)], names=["h", "fp", "at"])
+        bits = [pa.array(np.repeat(b.column(c).to_numpy()[first], sizes)) for c in _WORDS]
+        yield pa.record_batch([pa.array(np.frombuffer(b"".join(raw), np.int64)), pa.array(np.repeat(fp, sizes)), pa.array(np.repeat(n, sizes) * _PLACE + place), *bits], names=["h", "fp", "at", *_WORDS])
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which bitmaps differ; the last axis has their words."""
+    return np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=-1, dtype=np.int64)
 
 
-def _possible(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether sets may be similar that share a shingle, by their sizes and its places."""
+def _possible(x: np.ndarray, y: np.ndarray, apart: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets may be similar that share a shingle, by their sizes, its places and the bitmaps."""
     (n, i), (m, j) = np.divmod(x, _PLACE), np.divmod(y, _PLACE)
     most = np.minimum(i, j) + 1 + np.minimum(n - i, m - j) - 1
-    return (most >= similarity / (1 + similarity) * (n + m) - 1e-6) & (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6)
+    least = similarity / (1 + similarity) * (n + m) - 1e-6
+    return (most >= least) & (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6) & (apart <= n + m - 2 * least)
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -146,32 +171,39 @@ def _met(similarity: float):
     """Postings of shingles that several sets have, with the bucket's first set where it may be similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, fp, at in _buckets(batches):
+        for h, fp, at, *words in _buckets(batches):
             new = (np.diff(h, prepend=h[0]) != 0) | (np.diff(fp, prepend=fp[0]) != 0)
             new[0] = True
-            h, fp, at = h[new], fp[new], at[new]
+            h, fp, at, bits = h[new], fp[new], at[new], np.stack(words, axis=1)[new]
             starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             sizes = np.diff(np.append(starts, len(h)))
             lead, many = np.repeat(starts, sizes), np.repeat(sizes, sizes) > 1
-            near = _possible(at, at[lead], similarity) & (lead != np.arange(len(h)))
+            near = _possible(at, at[lead], _apart(bits, bits[lead]), similarity) & (lead != np.arange(len(h)))
             head = pa.array(fp[lead][many], mask=~near[many])
-            yield pa.record_batch([pa.array(h[many]), pa.array(fp[many]), pa.array(at[many]), head], names=["h", "fp", "at", "head"])
+            yield pa.record_batch([pa.array(h[many]), pa.array(fp[many]), pa.array(at[many]), *map(pa.array, bits[many].T.copy()), head], names=["h", "fp", "at", *_WORDS, "head"])
 
     return run
 
 
-def _across(similarity: float):
-    """Pairs of a bucket in different components that may be similar."""
+def _across(similarity: float, nearest: int | None):
+    """Pairs of a bucket in different components that may be similar: of each
+    member the ``nearest`` ones by bitmaps, or all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, fp, at, root in _buckets(batches):
+        for h, fp, at, *words, root in _buckets(batches):
+            bits = np.stack(words, axis=1)
             starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             stops = np.append(starts[1:], len(h))
             us, vs, n = [], [], 0
             for s, e in zip(starts.tolist(), stops.tolist(), strict=True):
-                for k in range(s, e - 1):
-                    rest = np.arange(k + 1, e)
-                    rest = rest[(root[rest] != root[k]) & _possible(at[rest], at[k], similarity)]
+                for k in range(s, e - 1 if nearest is None else e):
+                    rest = np.arange(k + 1 if nearest is None else s, e)
+                    rest = rest[root[rest] != root[k]]
+                    apart = _apart(bits[rest], bits[k])
+                    may = _possible(at[rest], at[k], apart, similarity)
+                    rest, apart = rest[may], apart[may]
+                    if nearest is not None and len(rest) > nearest:
+                        rest = rest[np.argsort(apart, kind="stable")[:nearest]]
                     if len(rest):
                         us.append(np.minimum(fp[rest], fp[k]))
                         vs.append(np.maximum(fp[rest], fp[k]))
@@ -218,16 +250,20 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
     return out
 
 
-def similar_links(marked: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """``u``, ``v``: links that join all similar sets of ``marked_sets``, directly or through others."""
-    postings = marked.select("fp", "n", "prefix").mapInArrow(lean(_postings), "h long, fp long, at long")
-    met = written(postings.repartition("h").sortWithinPartitions("h", "fp").mapInArrow(lean(_met(similarity)), "h long, fp long, at long, head long"), "met")
-    stars = written(met.where("head is not null").select(F.least("fp", "head").alias("u"), F.greatest("fp", "head").alias("v")).distinct(), "stars")
-    near = verified(stars, texts, words, similarity)
-    tops = roots(near)
-    member = met.join(tops.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("h", "fp", "at", F.coalesce("root", "fp").alias("root"))
-    mixed = member.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("h")
-    rest = member.join(mixed, "h").repartition("h").sortWithinPartitions("h", "fp")
-    pairs = rest.mapInArrow(lean(_across(similarity)), "u long, v long").distinct().join(stars, ["u", "v"], "left_anti")
-    pairs = written(pairs, "pairs")
-    return near.unionAll(verified(pairs, texts, words, similarity))
+def similar_links(marked: DataFrame, texts: DataFrame, words: int, similarity: float) -> list[DataFrame]:
+    """Written tables of ``u``, ``v``: links that join all similar sets of ``marked_sets``, directly or through others."""
+    postings = marked.select("fp", "n", "prefix", *_WORDS).mapInArrow(lean(_postings), f"h long, fp long, at long, {_BITMAP_TYPES}")
+    met = written(postings.repartition("h").sortWithinPartitions("h", "fp").mapInArrow(lean(_met(similarity)), f"h long, fp long, at long, {_BITMAP_TYPES}, head long"), "met")
+    made = written(met.where("head is not null").select(F.least("fp", "head").alias("u"), F.greatest("fp", "head").alias("v")).distinct(), "tried")
+    tried, near = [made], [verified(made, texts, words, similarity)]
+    for nearest in (NEAREST, None):
+        tops = roots(reduce(DataFrame.unionAll, near))
+        member = met.join(tops.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("h", "fp", "at", *_WORDS, F.coalesce("root", "fp").alias("root"))
+        mixed = member.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("h")
+        rest = member.join(mixed, "h").repartition("h").sortWithinPartitions("h", "fp")
+        pairs = rest.mapInArrow(lean(_across(similarity, nearest)), "u long, v long").distinct().join(reduce(DataFrame.unionAll, tried), ["u", "v"], "left_anti")
+        tried.append(written(pairs, "pairs"))
+        near.append(verified(tried[-1], texts, words, similarity))
+        dropped(tops)
+    dropped(met, *tried)
+    return near
