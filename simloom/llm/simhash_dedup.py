@@ -17,10 +17,11 @@ verified on all bits.
 
 Only distinct fingerprints are searched, so a group of copies is one node.  A
 bucket of over ``HOT`` fingerprints isn't paired off: its members are dealt
-out again by their values with up to one bit flipped.  Any two that differ in
-up to 2 bits share such a value, and any two that share one differ in up to 2,
-so linking each to the least of its value loses no link, adds none, and gives
-fewer than members times bits.
+out again by their values with some bits flipped, up to half of the threshold,
+and once more rounded up where it is odd.  Any two within the threshold share a
+value of these two kinds, and any two that do are within it, so linking each to
+the least of its value (of the first kind) loses no link, adds none, and gives
+at most as many as values.
 
 Defined cases: null and empty texts have fingerprint zero and link like any
 other; texts of fewer words than a shingle are one shingle; null ids take part
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simloom.llm.components import roots
-from simloom.llm.shared import free_name, lean, slices, written
+from simloom.llm.shared import dropped, free_name, lean, slices, written
 from simloom.llm.shingle_join import marked_sets, similar_links
 
 BITS = 64
@@ -230,8 +231,6 @@ def _bucket_links(threshold: int):
 def links(nodes: DataFrame, threshold: int = 2) -> DataFrame:
     """``u``, ``v``: links that join all fingerprints ``fp`` within ``threshold``
     bits of each other, directly or through others."""
-    if threshold not in (0, 2):
-        raise ValueError("hot buckets are split exactly for thresholds 0 and 2")
     n, both = joint_counts(nodes)
     chosen = plan(n, both, threshold)
     probes = None
@@ -246,9 +245,16 @@ def links(nodes: DataFrame, threshold: int = 2) -> DataFrame:
     found = small.mapInArrow(_bucket_links(threshold), "u long, v long")
     for i, (bits, t) in enumerate(chosen):
         other = [b for b in range(BITS) if t or b not in bits]
-        flips = F.array(*[F.lit(f).cast("long") for f in _flips(other, threshold // 2)])
-        keys = met.where((F.col("c") > HOT) & (F.col("part") == i)).select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("near")).distinct()
-        least = keys.groupBy("near").agg(F.min("fp").alias("m"), F.count("*").alias("c")).where("c > 1").select("near", "m")
+        hot = met.where((F.col("c") > HOT) & (F.col("part") == i)).select("fp")
+
+        def dealt(most: int, hot: DataFrame = hot, other: list[int] = other) -> DataFrame:
+            flips = F.array(*[F.lit(f).cast("long") for f in _flips(other, most)])
+            return hot.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("near")).distinct()
+
+        keys = dealt(-(-threshold // 2))
+        fewer = keys if threshold % 2 == 0 else dealt(threshold // 2)
+        least = fewer.groupBy("near").agg(F.min("fp").alias("m"), F.count("*").alias("c"))
+        least = least.where("c > 1").select("near", "m") if threshold % 2 == 0 else least.select("near", "m")
         found = found.unionAll(keys.join(least, "near").where("fp <> m").select(F.col("fp").alias("u"), F.col("m").alias("v")).distinct())
     return found
 
@@ -274,8 +280,10 @@ def similar_texts(df: DataFrame, key: str = "doc_id", text: str = "text", words:
     """
     marked = written(marked_sets(df, key, text, words, similarity), "sets")
     nodes = written(marked.groupBy("fp").agg(F.min(key).alias("first")), "nodes")
-    links = similar_links(marked, df.select(F.col(text).alias("text")), words, similarity)
-    return _named(marked, nodes, roots(links), key)
+    near = similar_links(marked, df.select(F.col(text).alias("text")), words, similarity)
+    tops = roots(near[0].unionAll(near[1]).unionAll(near[2]))
+    dropped(*near)
+    return _named(marked, nodes, tops, key)
 
 
 def report(df: DataFrame) -> DataFrame:

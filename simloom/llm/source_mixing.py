@@ -33,7 +33,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from simloom.llm.shared import free_name, word_count, written
+from simloom.llm.shared import dropped, free_name, word_count, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 LIMIT = 3
@@ -86,7 +86,7 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
 
 def _mixed(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     sized = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
-    sized = written(sized.withColumn("h", _hash(F.col("doc_id"))), "mix-sizes")
+    sized = sized_rows = written(sized.withColumn("h", _hash(F.col("doc_id"))), "mix-sizes")
     totals = written(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "mix-totals")
     goal = targets(totals.drop("n"))
     n_rows = totals.agg(F.sum("n")).first()[0] or 1
@@ -103,6 +103,7 @@ def _mixed(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     within = Window.partitionBy("source", "range").orderBy("h", F.col("doc_id"), "size").rowsBetween(Window.unboundedPreceding, 0)
     queued = sized.withColumn("within", F.sum("size").over(within)).alias("a").join(starts.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.range") == F.col("b.range")))
     queued = written(queued.select("doc_id", "a.source", "size", "h", "source_size", "target", (F.col("before") + F.col("within")).alias("ends")), "mix-queue")
+    dropped(sized_rows, totals, sums)
 
     def ends_at(e: int | Column) -> Column:
         return (F.lit(e) * F.col("source_size") + F.col("ends")) / F.col("target")

@@ -24,7 +24,6 @@ from simloom.llm import (
     secret_scan,
     sentencepiece_lattice,
     simhash_dedup,
-    simhash_wide,
     source_mixing,
     token_counts,
     topk_search,
@@ -572,9 +571,21 @@ def test_similar_texts(spark):
     assert simhash_dedup.first_of_each(nothing(spark)).count() == 0
 
 
-def test_wide_plan_grows_with_the_table():
-    small, large = simhash_wide.plan(1000, 0.8), simhash_wide.plan(10**9, 0.8)
-    assert small[0] < large[0] and small[1] < large[1] and small[2] == large[2] < 52
+@pytest.mark.parametrize("threshold", [0, 1, 2, 3])
+@pytest.mark.parametrize("hot", [1, 64])
+def test_fingerprint_links_are_exact_at_any_threshold(spark, monkeypatch, threshold, hot):
+    monkeypatch.setattr(simhash_dedup, "HOT", hot)
+    r = random.Random(threshold)
+    base = [r.getrandbits(64) for _ in range(4)]
+    values = sorted({b ^ sum(1 << k for k in r.sample(range(64), r.randrange(7))) for b in base for _ in range(12)})
+    nodes = spark.createDataFrame([(simhash_dedup.signed(v), k) for k, v in enumerate(values)], "fp long, first long")
+    found = {(x["u"], x["v"]) for x in simhash_dedup.links(nodes, threshold).collect()}
+    at = {simhash_dedup.signed(v): k for k, v in enumerate(values)}
+    assert all(((u ^ v) & (1 << 64) - 1).bit_count() <= threshold for u, v in found)
+    tops = {x["u"]: x["v"] for x in components.roots(simhash_dedup.links(nodes, threshold)).collect()}
+    want = brute_components(values, lambda a, b: (a ^ b).bit_count() <= threshold)
+    group = [at[tops.get(simhash_dedup.signed(v), simhash_dedup.signed(v))] for v in values]
+    assert len({*zip(group, want, strict=True)}) == len(set(group)) == len(set(want))
 
 
 # 10
