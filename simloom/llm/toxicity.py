@@ -1,11 +1,11 @@
 """Toxicity from a learned lexicon, misspelled terms and their context.
 
 Learning, from labelled rows that aren't held out: counts of words and of
-their prefixes in toxic and other texts give a lexicon of whole words and
-stems, each weighted by the log ratio of its rates.  Evidence must come from
-texts of their own: of near copies (five-word shingles, Jaccard 0.8) with the
-same label one counts, else a passage that a group of copies shares would pass
-for a term.
+their prefixes in toxic and other texts, outside of quotations, give a lexicon
+of whole words and stems, each weighted by the log ratio of its rates.  Evidence must come from
+texts of their own: of near copies with the same label (by sketches of their
+five-word shingles) one counts, else a passage that a group of copies shares
+would pass for a term.
 The lexicon's Levenshtein automata, intersected with its trie, also match
 misspelled forms; a term's forms at each distance get a weight of their own.
 A window around each match tells quotation (quotation marks around it, a word
@@ -34,6 +34,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from simloom.llm.levenshtein import MOST_STATES, STEM, WORD, Lexicon
 from simloom.llm.shared import dropped, free_name, lean, slices, written
-from simloom.llm.simhash_dedup import similar_texts
+from simloom.llm.shingle_join import shingles
 
 FIT_ROWS = 20_000
 THRESHOLD = 0.3
@@ -51,6 +52,8 @@ PREFIXES = range(3, 11)
 #: Least documents, evidence (G squared) and lift of a term.
 MIN_DOCS, MIN_EVIDENCE, MIN_LIFT = 3, 16.0, 3.0
 WINDOW = 60
+#: Values of a labelled row's sketch, those of a band, and the share of equal ones that tells a near copy.
+SKETCH, BAND, NEAR_COPY = 64, 4, 0.6
 #: Words whose match a task remembers.
 MOST_KNOWN = 200_000
 #: Shares of a match's weight that a quoted one, and a misspelled one, keep; the choices that are held against the prior.
@@ -83,6 +86,13 @@ def quotations(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def unquoted(text: str) -> str:
+    """A text without its quotations, whose words tell nothing of who quotes them."""
+    spans = quotations(text)
+    ends = [0, *(b for _, b in spans)]
+    return " ".join(text[a:b] for a, b in zip(ends, [*(a for a, _ in spans), len(text)], strict=True)) if spans else text
+
+
 def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -179,7 +189,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             tf = Counter()
-            for w, n in Counter(_TOKEN.findall((text or "").lower())).items():
+            for w, n in Counter(_TOKEN.findall(unquoted((text or "").lower()))).items():
                 tf[w + " "] += n
                 for k in PREFIXES:
                     if k > len(w):
@@ -192,6 +202,52 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """``id`` of rows that are near copies of another with the same label, for which it counts.
+
+    Near copies are joined by sketches: least values of the hashes of five-word
+    shingles under ``SKETCH`` maps.  Rows meet if a band of four is equal and
+    link to the first of the band if enough values are; few short rows, so the
+    driver joins them.
+    """
+    scale, shift = (np.random.default_rng(7).integers(0, 1 << 63, SKETCH, dtype=np.uint64) | np.uint64(1) for _ in range(2))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sketches = []
+            for t in b.column(0).cast(pa.binary()).to_pylist():
+                h, least = shingles(t).view(np.uint64), np.full(SKETCH, (1 << 64) - 1, np.uint64)
+                for start in range(0, len(h), 4096):
+                    mixed = h[start : start + 4096, None] * scale + shift
+                    least = np.minimum(least, (mixed ^ (mixed >> np.uint64(29))).min(axis=0))
+                sketches.append(least.tobytes())
+            yield pa.record_batch([b.column(2), b.column(1), pa.array(sketches, pa.binary())], names=["id", "y", "sketch"])
+
+    table = rows.select("text", "y", "id").mapInArrow(lean(run), "id long, y int, sketch binary").toArrow()  # at most fit_rows short rows
+    ids, y = (table.column(k).to_numpy() for k in ("id", "y"))
+    order = np.lexsort((ids, y))
+    ids, y = ids[order], y[order]
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH)[order]
+    parent = np.arange(len(ids))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    for band in range(0, SKETCH, BAND):
+        part = np.concatenate([sketch[:, band : band + BAND], y[:, None].astype(np.uint64)], axis=1)
+        _, first, same = np.unique(part, axis=0, return_index=True, return_inverse=True)
+        head = first[same.ravel()]
+        near = (sketch == sketch[head]).mean(axis=1) >= NEAR_COPY
+        for k in np.flatnonzero(near & (head != np.arange(len(ids)))).tolist():
+            a, b = sorted((root(k), root(int(head[k]))))
+            parent[b] = a
+    repeats = [(int(ids[k]),) for k in range(len(ids)) if root(k) != k]
+    return rows.sparkSession.createDataFrame(repeats, "id long")
+
+
 def _g2(d1: Column, d0: Column, n1: int, n0: int) -> Column:
     n, total = n1 + n0, F.lit(0.0)
     for seen, expected in ((d1, (d1 + d0) * (n1 / n)), (d0, (d1 + d0) * (n0 / n)), (n1 - d1, (n - d1 - d0) * (n1 / n)), (n0 - d0, (n - d1 - d0) * (n0 / n))):
@@ -199,17 +255,17 @@ def _g2(d1: Column, d0: Column, n1: int, n0: int) -> Column:
     return total
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS, quoted: tuple[float, ...] = QUOTED, fuzzy: tuple[float, ...] = FUZZY) -> Model:
+    """The model; ``quoted`` and ``fuzzy`` are the shares of weight that it may choose for such matches."""
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(F.col("k").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("k"))).groupBy("k").agg(F.max("y").alias("y"))
     n_known = known.count()
     share = min(1.0, 1.2 * fit_rows / max(n_known, 1))
     chosen = known.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.xxhash64("k"), "k").limit(fit_rows)
-    alike = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k").select(F.coalesce("text", F.lit("")).alias("text"), "y").groupBy("text").agg(F.max("y").alias("y"))
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k").select(F.coalesce("text", F.lit("")).alias("text"), "y").groupBy("text").agg(F.max("y").alias("y"))
     spread = max(2, docs.sparkSession.sparkContext.defaultParallelism)  # few rows, much work each
-    alike = written(alike.repartition(spread).withColumn("id", F.xxhash64("text")), "labelled")
-    groups = similar_texts(alike, "id", "text").groupBy("id").agg(F.min("component_id").alias("g"))
-    rows = written(alike.join(groups, "id").groupBy("g", "y").agg(F.min_by("text", F.struct("id", "text")).alias("text")).select("text", "y").repartition(spread), "labelled-once")
-    dropped(alike)
+    every = written(rows.repartition(spread).withColumn("id", F.xxhash64("text")), "labelled")
+    rows = written(every.join(F.broadcast(_copies(every)), "id", "left_anti").select("text", "y").repartition(spread), "labelled-once")
+    dropped(every)
     n1, n0 = (rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0))).first())
     if not n1 or not n0:
         return Model()
@@ -233,7 +289,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return Model()
     found = _matched(rows, model)
     _weigh_forms(found, model, ratio)
-    _fit(found, model)
+    _fit(found, model, quoted, fuzzy)
     dropped(rows, found)
     return model
 
@@ -303,8 +359,9 @@ def _loss(x: np.ndarray, y: np.ndarray) -> float:
     return total / len(y)
 
 
-def _fit(found: DataFrame, model: Model) -> None:
+def _fit(found: DataFrame, model: Model, quoted: tuple[float, ...], fuzzy: tuple[float, ...]) -> None:
     weights = model.weights
+    model.quoted, model.fuzzy = (prior if prior in of else of[0] for prior, of in ((QUOTED_PRIOR, quoted), (FUZZY_PRIOR, fuzzy)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -318,11 +375,10 @@ def _fit(found: DataFrame, model: Model) -> None:
     parts, y = parts[order], y[order]
     if len(y) >= 8 * FOLDS:
         best = _loss(features(parts, model.quoted, model.fuzzy), y) - GAIN
-        for quoted in QUOTED:
-            for fuzzy in FUZZY:
-                loss = _loss(features(parts, quoted, fuzzy), y)
-                if loss < best:
-                    best, model.quoted, model.fuzzy = loss, quoted, fuzzy
+        for q, f in product(quoted, fuzzy):
+            loss = _loss(features(parts, q, f), y)
+            if loss < best:
+                best, model.quoted, model.fuzzy = loss, q, f
     model.coefficients = [float(round(c, 9)) for c in _logistic(features(parts, model.quoted, model.fuzzy), y)]
 
 
