@@ -148,13 +148,18 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     k, src, size, n, m, row, part, at, before, copy = (free_name(docs, f"mix_{name}") for name in ("key", "source", "words", "copies", "alike", "row", "part", "at", "before", "copy"))
     taken = _mixed(docs, key, text, source).where("taken > 0 or size > 0")
     groups = taken.groupBy(F.col("doc_id").alias(k), F.col("source").alias(src), F.col("size").alias(size)).agg(F.sum(F.col("taken") / F.col("size")).cast("long").alias(n), F.count("*").alias(m)).where(F.col(n) > 0)
+    groups = written(groups, "mix-groups")
     sized = docs.withColumns({k: F.col(key).cast("long"), src: F.col(source).cast("string"), size: word_count(F.col(text))}).alias("d")
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"g.{c}")) for c in (k, src, size)]
-    met = sized.join(groups.alias("g"), same[0] & same[1] & same[2]).select("d.*", n, m)
+    of = lambda some: sized.join(some.alias("g"), same[0] & same[1] & same[2]).select("d.*", n, m)
     even = F.col(n) % F.col(m) == 0
-    each = met.where(even).withColumn(copy, F.floor(F.col(n) / F.col(m)))
+    one = [F.col(c) for c in docs.columns]
+    each = of(groups.where(even)).withColumn(copy, F.floor(F.col(n) / F.col(m))).select(*one, copy)
+    times = F.explode(F.sequence(F.lit(1), F.col(copy).cast("int")))
+    if groups.where(~even).isEmpty():  # as where keys don't repeat
+        return each.withColumn(copy, times).select(*docs.columns)
     # rows of the other groups are numbered: by their place in a part, after those of the parts before it
-    odd = written(met.where(~even).withColumn(row, F.monotonically_increasing_id()), "mix-alike").withColumn(part, F.shiftright(row, 33))
+    odd = written(of(groups.where(~even)).withColumn(row, F.monotonically_increasing_id()), "mix-alike").withColumn(part, F.shiftright(row, 33))
     by = [k, src, size]
     counts = odd.groupBy(*by, part).agg(F.count("*").alias(at))
     counts = counts.withColumn(before, F.coalesce(F.sum(at).over(Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop(at)
@@ -162,9 +167,8 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"g.{c}")) for c in (*by, part)]
     odd = odd.join(counts.alias("g"), same[0] & same[1] & same[2] & same[3]).select("d.*", before)
     odd = odd.withColumn(copy, F.floor(F.col(n) / F.col(m)) + (F.col(before) + F.col(at) <= F.col(n) % F.col(m)).cast("long"))
-    one = [F.col(c) for c in docs.columns]
-    out = each.select(*one, copy).unionAll(odd.select(*one, copy)).where(F.col(copy) > 0)
-    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy).cast("int")))).select(*docs.columns)
+    out = each.unionAll(odd.select(*one, copy)).where(F.col(copy) > 0)
+    return out.withColumn(copy, times).select(*docs.columns)
 
 
 ORACLE = """
