@@ -38,6 +38,8 @@ def features(text: str) -> list[str]:
 
 #: Characters of the texts that are hashed together.
 _TOGETHER = 250_000
+#: Most cells of a table of uses.
+_DENSE = 1 << 23
 
 
 def _fnv_of(codes: np.ndarray) -> np.ndarray:
@@ -62,11 +64,16 @@ def _bits(hashes: np.ndarray) -> np.ndarray:
 
 def _sums(table: np.ndarray, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sums of the rows ``at`` of ``table``, of runs of ``counts`` rows."""
+    n, width = len(counts), len(table)
+    if n * width <= _DENSE:  # how often each run has each row, times the table; exact in floats
+        kind = np.float32 if counts.max(initial=0) < 1 << 24 else np.float64
+        uses = np.bincount(np.repeat(np.arange(n), counts) * width + at, minlength=n * width).reshape(n, width)
+        return (uses.astype(kind) @ table.astype(kind)).astype(np.int64)
     out = np.zeros((len(counts), table.shape[1]), np.int64)
     some = np.flatnonzero(counts)
     if len(some):
         starts = (np.cumsum(counts) - counts)[some]
-        out[some] = np.add.reduceat(table[at], starts, axis=0, dtype=np.int64)
+        out[some] = np.add.reduceat(table[at], starts, axis=0, dtype=np.int32)
     return out
 
 
@@ -85,8 +92,9 @@ def _hash_together(texts: list[str], memo: dict[str, int]) -> np.ndarray:
     for w in {w for each in words for w in each}.difference(memo):
         memo[w] = fnv1a(w)
     n_words = np.fromiter(map(len, words), np.int64, len(words))
-    every = np.fromiter((memo[w] for each in words for w in each), np.uint64, int(n_words.sum()))
-    votes += _sums(_bits(every), np.arange(len(every)), n_words)
+    places = {w: k for k, w in enumerate({w for each in words for w in each})}
+    every = np.fromiter((places[w] for each in words for w in each), np.int64, int(n_words.sum()))
+    votes += _sums(_bits(np.fromiter(map(memo.__getitem__, places), np.uint64, len(places))), every, n_words)
     return np.packbits(2 * votes > (sizes - 2 + n_words)[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 

@@ -75,14 +75,21 @@ def morton_id(v: Column | str, dims: int = 10, bits: int = 10) -> Column:
     """The Z-order ID in built-in expressions only."""
     MortonProfile(dims, bits)
     n_bytes = -(-dims * bits // 8)
-    binary = lambda c: F.transform(c, lambda x: F.lpad(F.bin(x), bits, "0"))
-    planes = F.transform(F.sequence(F.lit(1), F.lit(bits)), lambda b: F.array_join(F.reverse(F.transform(binary(coordinates(normalized(v), dims, bits)), lambda s: s.substr(b, F.lit(1)))), ""))
-    code = F.lpad(F.array_join(planes, ""), 8 * n_bytes, "0")
     header = "".join(f"{x:08b}" for x in MortonProfile(dims, bits).header(dims))
-    whole = F.concat(F.lit(header), code)
     n_chars = -(-(len(header) + 8 * n_bytes) // 5)
-    chars = F.transform(F.sequence(F.lit(0), F.lit(n_chars - 1)), lambda k: F.lower(F.conv(F.rpad(whole.substr(k * 5 + 1, F.lit(5)), 5, "0"), 2, 32)))
-    return F.when(is_vector(v), F.array_join(chars, ""))
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)  # noqa: E731  computed once, used often
+
+    def planes(rows: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.lit(bits)), lambda b: F.array_join(F.transform(rows, lambda s: s.substr(b, F.lit(1))), ""))
+        return F.concat(F.lit(header), F.lpad(F.array_join(each, ""), 8 * n_bytes, "0"))
+
+    def chars(whole: Column) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n_chars - 1)), lambda k: F.lower(F.conv(F.rpad(whole.substr(k * 5 + 1, F.lit(5)), 5, "0"), 2, 32))), "")
+
+    # the length of the vector once, then its first components, their bits and the text
+    scaled = let(norm(v), lambda n: F.transform(F.slice(as_floats(v), 1, dims), lambda x: F.when(n > 0, (x / n).cast("float")).otherwise(x)))
+    rows = F.reverse(F.transform(coordinates(scaled, dims, bits), lambda x: F.lpad(F.bin(x), bits, "0")))
+    return F.when(is_vector(v), let(let(rows, planes), chars))
 
 
 # kernels over vectors of any size
