@@ -99,18 +99,25 @@ def near_duplicate_texts(df: DataFrame, key: str, text: str, above: float = 0.9)
     it, and ``class_size``) and ``n_links``, how many other classes are over
     ``above`` similar.  ``similar_classes`` gives the links."""
     classes = hash_classes(df, key, text)
-    links = _class_links(classes, key, above).select(F.explode(F.array("key_a", "key_b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    heads = classes.where(F.col(key) == F.col("class_id")).select("class_id", "hash").distinct()
+    links = _class_links(heads, above).select(F.explode(F.array("key_a", "key_b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
     return classes.join(links, "class_id", "left").select(key, "class_id", "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def class_heads(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``class_id`` and ``hash`` of each class of equal SimHashes."""
+    hashed = df.select(F.col(key), simhash(F.coalesce(F.col(text), F.lit(""))).alias("hash"))
+    return hashed.groupBy("hash").agg(F.min(key).alias("class_id")).select("class_id", "hash")
+
+
 def similar_classes(df: DataFrame, key: str, text: str, above: float = 0.9) -> DataFrame:
     """key_a, key_b, distance of classes of equal SimHashes that are over ``above`` similar, by their first keys."""
-    return _class_links(hash_classes(df, key, text), key, above)
+    return _class_links(class_heads(df, key, text), above)
 
 
-def _class_links(classes: DataFrame, key: str, above: float) -> DataFrame:
+def _class_links(heads: DataFrame, above: float) -> DataFrame:
     most = next((d for d in range(63, -1, -1) if 1 - d / 64 > above), None)
-    return similar_hashes(classes.where(F.col(key) == F.col("class_id")).dropDuplicates(["class_id"]), None, "class_id", "hash", most if most is not None else 0)
+    return similar_hashes(heads, None, "class_id", "hash", most if most is not None else 0)
 
 
 def hash_classes(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -145,7 +145,7 @@ def conversation_class_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query
 def benchmark_hash_matches(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose hash is within 8 bits of a benchmark item's."""
-    docs = blocking.hash_classes(table(spark, d, "documents"), "doc_id", "text").where("doc_id = class_id").select(F.col("doc_id").alias("id"), "hash")
+    docs = blocking.class_heads(table(spark, d, "documents"), "doc_id", "text").select(F.col("class_id").alias("id"), "hash")
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), fingerprint.simhash(F.coalesce("text", F.lit(""))).alias("hash"))
     return blocking.similar_hashes(docs, items, "id", "hash", 8)
 
