@@ -11,7 +11,8 @@ smallest ids that are still needed, so ties are broken the same way each time.
 Memory is bounded by tiles and by one histogram per query of the blocks that a
 task sees; no pass emits more than a histogram per query and task, or k rows
 per query and task.  Query blocks are broadcast only under ``BROADCAST_BYTES``;
-beyond that both sides are dealt out by tile.
+beyond that queries are dealt out in groups of blocks, which each copy of the
+candidates meets.  Quantised vectors are written once for all passes.
 
 Defined cases: vectors that are null, or hold a null or a non-finite
 component, and rows with a null id take no part; vectors only meet vectors of
@@ -31,10 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from simloom.llm.shared import written
+
 BINS_LOG2 = 9
 BINS = 1 << BINS_LOG2
 QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 4096
+#: Query blocks that a copy of the candidates meets.
+GROUP = 32
 BROADCAST_BYTES = 8 << 20
 _MAX = (1 << 63) - 1
 _BLOCK = "dim int, ids binary, data binary"
@@ -182,14 +187,15 @@ def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int = 5) -> DataFr
     small = n_queries * (8 * (q_dim or 0) + 24) <= BROADCAST_BYTES
     n_splits = 1 if small else -(-n_rows // (64 * CANDIDATE_BLOCK)) or 1
 
-    packed = candidates.mapInArrow(_pack_candidates, _BLOCK)
-    dealt = packed.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("split", F.pmod(F.xxhash64("ids"), F.lit(n_splits)))
-    asked = queries.groupBy("id").agg(F.max("v").alias("v")).withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
+    packed = written(candidates.mapInArrow(_pack_candidates, _BLOCK), "candidates")  # every round reads them
+    n_groups = -(-n_blocks // GROUP)
+    dealt = packed.withColumn("qg", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1)))).withColumn("split", F.pmod(F.xxhash64("ids"), F.lit(n_splits)))
+    asked = written(queries.groupBy("id").agg(F.max("v").alias("v")).withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")), "asked")
 
     def tiles(state: DataFrame) -> DataFrame:
         blocks = state.groupBy(F.size("v").alias("d"), "qb").applyInArrow(_pack_queries, "dim int, qb int, q_ids binary, q_data binary, q_lo binary, q_need binary")
-        blocks = blocks.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1)).cast("array<bigint>")))
-        return dealt.join(F.broadcast(blocks) if small else blocks, ["dim", "qb", "split"])
+        blocks = blocks.withColumn("qg", F.floor(F.col("qb") / GROUP).cast("int")).withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1)).cast("array<bigint>")))
+        return dealt.join(F.broadcast(blocks) if small else blocks, ["dim", "qg", "split"])
 
     state = asked.select("id", "v", "qb", F.lit(-reach).cast("long").alias("lo"), F.lit(k).cast("long").alias("need"))
     for r in range(rounds):
