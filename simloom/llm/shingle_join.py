@@ -13,11 +13,12 @@ all others; only what is left is verified on the whole sets, by the texts.
 The order is by counts of shingles in a sample of texts, then by how often the
 sample has their words (then by hash), so that shingles which meet by chance
 come last, however large the table.  It decides how many pairs meet and never
-which are found.  Members of a bucket are first
-verified against one of them; then each against the few of other components
-whose bitmaps are nearest, which joins most of a group; last, all pairs whose
-ends are still in different components.  So a group of copies costs about as
-much as its rows, and no pair that could join components is left out.
+which are found.  Pairs that are given (those of SimHash) are verified first.
+Then members of a bucket are verified against one of them; then each against the
+few of other components whose bitmaps are nearest, which joins most of a group;
+last, all pairs whose ends are still in different components.  So a group of
+copies costs about as much as its rows, and no pair that could join components
+is left out.
 
 Shingles and sets are known by hashes of 64 bits.
 """
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import chain, repeat
 
@@ -146,29 +147,31 @@ def _prefix(held: np.ndarray, weights: np.ndarray, common: np.ndarray, counts: n
     return held[: len(held) - math.ceil(similarity * len(held) - 1e-9) + 1]
 
 
-def marked_sets(df: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:
-    """``key``, ``text_hash``, ``fp`` (a set's identifier), ``n`` (its size), ``prefix`` and bitmaps."""
+def marked_sets(df: DataFrame, key: str, text: str, words: int, similarity: float, majority: Callable[[np.ndarray], int]) -> DataFrame:
+    """``key``, ``text_hash``, ``fp`` (a set's identifier), ``simhash`` (``majority``
+    of the hashes, repeats included), ``n`` (the set's size), ``prefix`` and bitmaps."""
     common, counts, uses = common_shingles(df.select(F.col(text).alias("text")), words)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            fps, sizes, prefixes, wide, bits = [], [], [], [], []
+            fps, marks, sizes, prefixes, wide, bits = [], [], [], [], [], []
             for t in _texts(b, 1):
                 found = t.lower().split()
                 hashes = _hashes(found, words)
                 held, at = np.unique(hashes, return_index=True)
                 fps.append(set_id(held))
+                marks.append(majority(hashes))
                 sizes.append(len(held))
                 prefixes.append(_prefix(held, _weights(found, uses, words)[at], common, counts, similarity).tobytes())
                 wide.append(wide_bitmap(held))
                 bits.append(bitmap(held))
             words_of = np.array(bits, np.int64).reshape(-1, len(_WORDS)).T.copy()
-            longs = [pa.array(x, pa.int64()) for x in (fps, sizes)]
-            yield pa.record_batch([b.column(0), b.column(2), *longs, pa.array(prefixes, pa.binary()), pa.array(wide, pa.binary()), *map(pa.array, words_of)], names=["k", "text_hash", "fp", "n", "prefix", "wide", *_WORDS])
+            longs = [pa.array(x, pa.int64()) for x in (fps, marks, sizes)]
+            yield pa.record_batch([b.column(0), b.column(2), *longs, pa.array(prefixes, pa.binary()), pa.array(wide, pa.binary()), *map(pa.array, words_of)], names=["k", "text_hash", "fp", "simhash", "n", "prefix", "wide", *_WORDS])
 
     given = df.select(F.col(key).alias("k"), text, F.xxhash64(text).alias("text_hash"))
-    return given.mapInArrow(lean(run), f"k {kind}, text_hash long, fp long, n long, prefix binary, wide binary, {_BITMAP_TYPES}").withColumnRenamed("k", key)
+    return given.mapInArrow(lean(run), f"k {kind}, text_hash long, fp long, simhash long, n long, prefix binary, wide binary, {_BITMAP_TYPES}").withColumnRenamed("k", key)
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,8 +328,11 @@ def likely(pairs: DataFrame, wide: DataFrame, similarity: float) -> DataFrame:
     return written(both.mapInArrow(lean(_by_bitmaps(similarity)), "u long, v long"), "likely")
 
 
-def similar_links(marked: DataFrame, texts: DataFrame, words: int, similarity: float) -> list[DataFrame]:
-    """Written tables of ``u``, ``v``: links that join all similar sets of ``marked_sets``, directly or through others."""
+def similar_links(marked: DataFrame, texts: DataFrame, words: int, similarity: float, given: DataFrame) -> list[DataFrame]:
+    """Written tables of ``u``, ``v``: links that join all similar sets of ``marked_sets``, directly or through others.
+
+    The first table has those of the pairs ``given``.
+    """
     wide = written(marked.groupBy("fp").agg(F.first("n").alias("n"), F.first("wide").alias("wide"), F.first("text_hash").alias("text_hash")), "wide")
     tried, near = [], []
 
@@ -339,6 +345,7 @@ def similar_links(marked: DataFrame, texts: DataFrame, words: int, similarity: f
         dropped(may)
         released(marked.sparkSession)
 
+    tell(given.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct())
     postings = marked.select("fp", "n", "prefix", *_WORDS).mapInArrow(lean(_postings), f"h long, fp long, at long, {_BITMAP_TYPES}")
     met = written(postings.repartition("h").sortWithinPartitions("h", "fp").mapInArrow(lean(_met(similarity)), f"h long, fp long, at long, {_BITMAP_TYPES}, head long"), "met")
     released(marked.sparkSession)

@@ -68,6 +68,12 @@ def fingerprint(raw: bytes, words: int = 3) -> int:
     return int.from_bytes(np.packbits(votes).tobytes(), "big")
 
 
+def majority(hashes: np.ndarray) -> int:
+    """SimHash, signed, of digests that are given as longs; of none, zero."""
+    votes = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) * 2 > len(hashes)
+    return int.from_bytes(np.packbits(votes).tobytes(), "big", signed=True)
+
+
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
     """``key`` and ``fp``, the fingerprint as a long of the same bits."""
     kind = df.schema[key].dataType.simpleString()
@@ -274,14 +280,26 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     return _named(marked, nodes, roots(links(nodes, threshold)), key)
 
 
-def similar_texts(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def probable(marked: DataFrame, threshold: int) -> DataFrame:
+    """``u``, ``v``: pairs of sets that join all whose SimHashes are within
+    ``threshold`` bits, found as ``links`` finds them."""
+    firsts = written(marked.groupBy("simhash").agg(F.min("fp").alias("first")), "firsts")
+    near = links(firsts.select(F.col("simhash").alias("fp")), threshold)
+    first = [firsts.select(F.col("simhash").alias(e), F.col("first").alias(f"first_{e}")) for e in "uv"]
+    across = near.join(first[0], "u").join(first[1], "v").select(F.col("first_u").alias("u"), F.col("first_v").alias("v"))
+    return across.unionAll(marked.select("simhash", "fp").join(firsts, "simhash").where("fp <> first").select("fp", "first").distinct())
+
+
+def similar_texts(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, threshold: int = 2) -> DataFrame:
     """``key``, ``fp`` and ``component_id`` of texts whose shingle sets are at least that similar (Jaccard).
 
-    Exact, see ``shingle_join``; ``fp`` names the set.
+    SimHash finds the pairs within ``threshold`` bits, which are checked on the
+    whole sets; similar sets that are further apart are joined by their rarer
+    shingles, see ``shingle_join``, which leaves out none.  ``fp`` names the set.
     """
-    marked = written(marked_sets(df, key, text, words, similarity), "sets")
+    marked = written(marked_sets(df, key, text, words, similarity, majority), "sets")
     nodes = written(marked.groupBy("fp").agg(F.min(key).alias("first")), "nodes")
-    near = similar_links(marked, df.select(F.col(text).alias("text")), words, similarity)
+    near = similar_links(marked, df.select(F.col(text).alias("text")), words, similarity, probable(marked, threshold))
     tops = roots(reduce(DataFrame.unionAll, near))
     dropped(*near)
     return _named(marked, nodes, tops, key)
