@@ -56,6 +56,8 @@ WINDOW = 60
 SKETCH, BAND, NEAR_COPY = 64, 4, 0.6
 #: Words whose match a task remembers.
 MOST_KNOWN = 200_000
+#: Terms that a task counts before it hands them on to be summed.
+MOST_TERMS = 100_000
 #: Shares of a match's weight that a quoted one, and a misspelled one, keep; the choices that are held against the prior.
 QUOTED_PRIOR, QUOTED = 0.35, (0.0, 0.15, 0.35, 0.6, 1.0)
 FUZZY_PRIOR, FUZZY = 1.0, (0.0, 0.5, 1.0)
@@ -197,7 +199,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     tf[w[:k]] += n
             docs[toxic].update(tf.keys())
             uses[toxic].update(tf)
-            if len(docs[0]) + len(docs[1]) > 1_000_000:
+            if len(docs[0]) + len(docs[1]) > MOST_TERMS:
                 yield flush()
     yield flush()
 
