@@ -5,7 +5,7 @@ All scalar functions are stateless, so they work on streams as they are.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simloom.functions.fingerprint import simhash
@@ -21,17 +21,24 @@ def scored_stream(stream: DataFrame, query: str, column: str, metric: str = "bes
 def matched_stream(stream: DataFrame, known: DataFrame, column: str, name: str, most: int = 2) -> DataFrame:
     """Each row of a stream with the rows of a static table within ``most`` (0 to 2) edits of it.
 
-    Exact: rows meet by what deletions make of both.  A pair that meets by
-    several forms counts at the first of them, so nothing has to be remembered.
+    Exact: rows meet by what deletions make of both, known by hashes.  A pair that
+    meets by several forms counts at the least of them, so nothing has to be
+    remembered.  Both sides are shuffled by form, as Spark would size them up by
+    what they were before; ``known`` is broadcast if it is marked so.
     """
     if not 0 <= most <= 2:
         raise ValueError("0 to 2 edits")
     taken = {c.lower() for c in (*stream.columns, *known.columns)}
-    a, b, form = (next(n + "_" * k for k in range(99) if n + "_" * k not in taken) for n in ("forms_a", "forms_b", "form"))
-    left = stream.withColumn(a, deletion_forms(F.col(column), most)).withColumn(form, F.explode(a))
-    right = known.withColumn(b, deletion_forms(F.col(name), most)).withColumn(form, F.explode(b))
-    met = left.join(right, form).where(F.col(form) == F.array_min(F.array_intersect(a, b)))
-    return met.withColumn("distance", F.levenshtein(stream[column], known[name], most)).where("distance >= 0").drop(a, b, form)
+    form = next("form" + "_" * k for k in range(99) if "form" + "_" * k not in taken)
+
+    def forms(s: Column) -> Column:
+        return F.array_distinct(F.transform(deletion_forms(s, most), lambda x: F.xxhash64(x)))
+
+    left, right = (df.withColumn(form, F.explode(forms(F.col(c)))) for df, c in ((stream, column), (known, name)))
+    distance = F.levenshtein(stream[column], known[name], most)
+    # forms are made again only of pairs that are near
+    first = F.when(distance >= 0, F.col(form) == F.array_min(F.array_intersect(forms(stream[column]), forms(known[name]))))
+    return left.hint("merge").join(right, form).where(first).withColumn("distance", distance).drop(form)
 
 
 def deduplicated_stream(stream: DataFrame, text: str, time: str, within: str = "10 minutes") -> DataFrame:

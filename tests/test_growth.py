@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from simloom.operators import blocking
+from simloom.streaming import streams
 
 
 def plan(df):
@@ -15,3 +16,18 @@ def test_edit_joins_broadcast_no_exploded_side(spark):
         assert "Broadcast" not in plan(blocking.edit_pairs(values, "id", "name", most))
     got = blocking.edit_pairs(values, "id", "name", 1)
     assert got.count() == got.select("value_a", "value_b").distinct().count() == 300 * 9 + 300  # two digits, and hundreds of three values
+
+
+def test_matched_streams_broadcast_only_what_is_marked(spark, tmp_path):
+    spark.range(300).select(F.col("id").cast("int").alias("id"), F.concat(F.lit("red iron "), F.col("id")).alias("name")).write.parquet(str(tmp_path / "in"))
+    known = spark.createDataFrame([("red iron 7",), ("rde iron 77",), ("red iron 7",)], "k string")
+    for side, joined in ((known, "SortMergeJoin"), (F.broadcast(known), "BuildRight")):
+        found = streams.matched_stream(spark.readStream.schema("id int, name string").parquet(str(tmp_path / "in")), side, "name", "k", 2)
+        assert [n for n, _ in found.dtypes] == ["id", "name", "k", "distance"]
+        q = found.writeStream.format("memory").queryName(f"m{joined}").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        seen = q._jsq.streamingQuery().lastExecution().executedPlan().toString()
+        assert joined in seen and "BuildLeft" not in seen
+        rows = sorted(tuple(r) for r in spark.table(f"m{joined}").collect())
+        cross = spark.read.parquet(str(tmp_path / "in")).crossJoin(known).withColumn("distance", F.levenshtein("name", "k")).where("distance <= 2")
+        assert rows == sorted(tuple(r) for r in cross.collect())
